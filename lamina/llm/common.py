@@ -93,3 +93,11 @@ def ascii_lower(c: Column) -> Column:
 def text_id(c: Column) -> Column:
     """A text's number: with the row's id it tells rows apart that share an id."""
     return F.xxhash64(c)
+
+
+def row_key(id_col: Column, text: Column) -> list[Column]:
+    """_k1 and _k2: what a row's results are joined by. Never null; rows with equal id and text share them, and their results."""
+    return [F.xxhash64(F.lit("id"), id_col).alias("_k1"), F.xxhash64(F.lit("text"), text).alias("_k2")]
+
+
+KEY = ["_k1", "_k2"]

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, token_counts, url_filter, warc
+from . import decontaminate, quality, secret_scan, token_counts, url_filter, warc
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
@@ -31,9 +36,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("all_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        w AS (SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS g
+              FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS s FROM b WHERE len(ws) > 0)),
+        p AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS g
+              FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
+        m AS (SELECT p.doc_id, p.s, p.n, w.item_id FROM p JOIN w ON p.n = w.n AND p.g = w.g),
+        h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS x FROM m) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
     "op2_warc": """
         SELECT page_id, url, octet_length(p) AS payload_bytes, d AS payload_digest,
                CASE WHEN octet_length(p) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
