@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secret_scan, token_counts, url_filter, warc
+from . import decontaminate, pieces, pii, quality, secret_scan, token_counts, url_filter, warc
 from .common import table
 
 
@@ -18,6 +18,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.annotate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.verdicts(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -36,7 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("all_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_pii, op4_pieces, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": r"""
