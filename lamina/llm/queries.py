@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality, secret_scan, token_counts, url_filter, warc
+from . import decontaminate, jaccard_join, pieces, pii, quality, secret_scan, token_counts, url_filter, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.verdicts(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("all_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_pii, op4_pieces, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_pii, op4_pieces, op5_jaccard_join, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": r"""
@@ -67,6 +71,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN octet_length(p) >= 100 AND page_id <> first THEN first END AS refers_to
         FROM (SELECT *, min(page_id) OVER (PARTITION BY d) AS first
               FROM (SELECT page_id, url, encode(coalesce(html, '')) AS p, sha256(encode(coalesce(html, ''))) AS d FROM pages))""",
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS k FROM w WHERE len(ws) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * m >= 4 * (p.n + q.n - m)),
+        r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+        SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links
+        FROM documents d""",
     "op8_url_filter": """
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
