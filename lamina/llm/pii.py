@@ -20,7 +20,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Labels: 0 for none, then KINDS.
 LABELS = len(KINDS) + 1
 #: Probability from which a token that no pattern covers counts, rounds of messages and share of the old message kept.
-LEAST, ROUNDS, DAMPING = 0.9, 20, 0.3
+LEAST, ROUNDS, DAMPING = 0.8, 20, 0.3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -64,7 +64,7 @@ def tokens(text: str) -> list[tuple[int, int]]:
         start, end = m.span()
         while start and not text[start - 1].isspace():
             start -= 1
-        while start < end and text[start] in _EDGE:
+        while start < end and text[start] in _EDGE and not (text[start] == "(" and ")" in text[start:end]):
             start += 1
         while end > start and text[end - 1] in _EDGE and not (text[end - 1] == ")" and "(" in text[start:end]):
             end -= 1
@@ -136,10 +136,12 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     hints = {k + 1: _BEFORE[k] for k in range(4)}
     text, spans = "", []
     twice = rng.choice(other)()
+    used: list[int] = []
     for _ in range(rng.randint(8, 20)):
         x = rng.random()
         if x < 0.35:
-            kind = rng.randint(1, 4)
+            kind = rng.choice(used) if used and rng.random() < 0.5 else rng.randint(1, 4)  # the same again, maybe in another form
+            used.append(kind)
             if rng.random() < 0.3:
                 text += rng.choice(hints[kind]) + ": "
             form = rng.choice(forms[kind])
