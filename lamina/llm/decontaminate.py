@@ -4,6 +4,7 @@ All of it is expressions of DataFrames."""
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,9 @@ from .common import KEY, ascii_lower, row_key, sized_join, stored
 WINDOW = 10
 #: Rarest terms of a window whose postings are intersected; the other words are compared where these agree.
 RAREST = 2
-#: A word, before A-Z are put in lower case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word, before A-Z are put in lower case: all but the ASCII characters that are no letter or digit. The ASCII ones that count are
+#: named one by one, for then the JVM looks them up in a table.
+WORD = rf"[{string.digits}{string.ascii_letters}\x80-\x{{10FFFF}}]+"
 
 
 def words(text: Column) -> Column:
