@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: Rows that one side of a join may have, as counted, to be sent to every executor.
 BROADCAST_ROWS = 200_000
-#: Copies of the smaller side, one for each share of the larger side's rows of a key, when it is not broadcast.
-SALTS = 16
 #: Rows and bytes handed to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
@@ -62,15 +60,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def sized_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """large joined to small: by broadcast if small, counted, has at most BROADCAST_ROWS rows; else by a shuffle
-    in which the rows of one key in large are dealt over SALTS tasks, each with its own copy of small's rows of that key.
+    """large joined to small: by broadcast if small, counted, has at most BROADCAST_ROWS rows; else by a shuffle of both, in which
+    Spark splits what a hot key brings to one task (spark.sql.adaptive.skewJoin) and sends small's rows of that key to each part.
 
-    small must be cheap to count: a stored table or an aggregate of one. how: inner, left or left_semi."""
+    small must be cheap to count: a stored table or an aggregate of one. how: inner, left or left_semi, all of which can be split."""
     if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
         return large.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = large.withColumn("_salt", F.pmod(F.xxhash64(*[large[c] for c in large.columns]), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
+    return large.join(small.hint("merge"), on, how)
 
 
 def arrow_pass(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
