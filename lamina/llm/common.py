@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ready
+
 #: Rows that one side of a join may have, as counted, to be sent to every executor.
 BROADCAST_ROWS = 200_000
 #: Rows and bytes handed to a Python worker at once.
@@ -20,6 +22,7 @@ _run = uuid.uuid4().hex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
