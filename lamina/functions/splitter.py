@@ -50,6 +50,7 @@ def split(data: bytes, block: int, read: int = READ) -> list[int]:
     at_strict = np.flatnonzero(h & np.uint64(strict) == 0).tolist()
     at_loose = np.flatnonzero(h & np.uint64(loose) == 0).tolist()
     words = gear().tolist()
+    reach = 37 + w.bit_length()  # so many bytes after a skip, the masks' highest bit still holds one from before
     out, start, last = [], 0, 0
     while start < n:
         first = start + least
@@ -59,7 +60,7 @@ def split(data: bytes, block: int, read: int = READ) -> list[int]:
         middle, end = min(start + w, n), min(start + most, n)
         end = min(end, (middle // read + 1) * read)
         cut, value = None, last
-        plain = min(first + 64, end)  # until the hash holds no byte from before the skip
+        plain = min(first + reach, end)
         for i in range(first, plain):
             value = ((value << 1) + words[data[i]]) & _WORD
             if value & (strict if i < middle else loose) == 0:
@@ -76,7 +77,7 @@ def split(data: bytes, block: int, read: int = READ) -> list[int]:
                 value = int(h[cut])
         if cut is None:
             cut = end - 1
-            if cut >= first + 64:
+            if cut >= first + reach:
                 value = int(h[cut])
         last = value
         out.append(cut + 1 - start)

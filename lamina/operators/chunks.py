@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fill_byte, sha256_hex
 from ..functions.splitter import Splitter, split
 
+#: Bytes of pieces that the splitter hands on at once, besides those of one stream.
+OUT_BYTES = 16 << 20
+
 
 def fixed(streams: DataFrame, size: int) -> DataFrame:
     """stream_id, seq, pos, len, data: pieces of `size` bytes, the last one shorter; none of an empty stream."""
@@ -26,19 +29,38 @@ def content_defined(streams: DataFrame, block: int, splitter: Splitter = split)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in enumerate(batch.column("data")):  # a stream at a time: a batch of pieces is no larger than it
+            owner, seqs, places, sizes, parts, held = [], [], [], [], [], 0
+
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                columns = [pa.array(x, pa.int64()) for x in (seqs, places, sizes)] + [pa.array(parts, pa.binary())]
+                made = pa.RecordBatch.from_arrays([batch.column("stream_id").take(pa.array(owner, pa.int64())), *columns], ["stream_id", "seq", "pos", "len", "data"])
+                for x in (owner, seqs, places, sizes, parts):
+                    x.clear()
+                return made
+
+            for k, data in enumerate(batch.column("data")):
                 raw = data.as_buffer().to_pybytes()
-                sizes = splitter(raw, block)
-                places = [0]
-                for x in sizes:
-                    places.append(places[-1] + x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column("stream_id")[k], len(sizes)), pa.array(range(len(sizes)), pa.int64()), pa.array(places[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array([raw[a : a + n] for a, n in zip(places, sizes, strict=False)], pa.binary())],
-                    ["stream_id", "seq", "pos", "len", "data"],
-                )
+                at = 0
+                for seq, size in enumerate(splitter(raw, block)):
+                    owner.append(k)
+                    seqs.append(seq)
+                    places.append(at)
+                    sizes.append(size)
+                    parts.append(raw[at : at + size])
+                    at += size
+                held += len(raw)
+                if held > OUT_BYTES:
+                    yield out()
+                    held = 0
+            if owner:
+                yield out()
 
     kind = dict(streams.dtypes)["stream_id"]
-    return streams.select("stream_id", "data").mapInArrow(cut, f"stream_id {kind}, seq long, pos long, len long, data binary")
+    rows = streams.select("stream_id", "data")
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < tasks:  # a few files: the bytes are dealt to all cores first
+        rows = rows.repartition(tasks)
+    return rows.mapInArrow(cut, f"stream_id {kind}, seq long, pos long, len long, data binary")
 
 
 def classified(chunks: DataFrame) -> DataFrame:

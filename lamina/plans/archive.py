@@ -53,8 +53,8 @@ class Archive:
         """A new archive; its folder must not exist. The block size becomes a power of two of 1 MiB at most."""
         if self._exists():
             raise ArchiveError(f"{self.root} exists")
-        row = [(adjust_block_size(block_size), "gear", "zstd" if compression else "none")]
-        self.spark.createDataFrame(row, "block_size long, splitter_alg string, codec string").coalesce(1).write.parquet(self.path("config"))
+        row = {"block_size": adjust_block_size(block_size), "splitter_alg": "gear", "codec": "zstd" if compression else "none"}
+        self.spark.range(1, numPartitions=1).select(*(F.lit(v).alias(k) for k, v in row.items())).write.parquet(self.path("config"))
         return self
 
     def config(self) -> dict:
@@ -110,6 +110,8 @@ class Archive:
         staged = lambda df, what: self._staged(df, pack, what)
         if "pos" not in segments.columns:
             segments = segments.withColumn("pos", F.coalesce(F.sum("len").over(Window.partitionBy("stream_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        if not segments.groupBy("stream_id", "segment").count().where("count > 1").isEmpty():
+            raise ArchiveError("a stream is given twice")
         whole = segments.where("data is not null").select(F.struct("stream_id", "segment", "pos").alias("stream_id"), "data")
         cut = C.content_defined(whole, config["block_size"])
         cut = cut.select("stream_id.stream_id", "stream_id.segment", F.col("stream_id.pos").alias("at"), "seq", "pos", "len", "data")
@@ -117,9 +119,9 @@ class Archive:
         chunks = staged(cut.withColumn("hash", F.when(F.col("fill").isNull(), blake2b_256(F.col("data")))), "chunks")
         known = self.blocks().select("hash", "slab", "idx", "len")
         fresh = C.unseen(C.owners(chunks, ("stream_id", "pos")), known)
-        placed = staged(self._placed(fresh), "placed")
-        data = chunks.join(placed, "hash").where((F.col("stream_id") == F.col("owner.stream_id")) & (F.col("pos") == F.col("owner.pos")))
-        rows = data.select("hash", "slab", "idx", "begin", placed["len"], "data").dropDuplicates(["hash"])
+        placed = staged(self._placed(fresh, pack), "placed")
+        first = placed.select("hash", "owner.stream_id", "owner.pos", "slab", "idx", "begin")
+        rows = chunks.join(first, ["hash", "stream_id", "pos"]).select("hash", "slab", "idx", "begin", "len", "data")
         rows.repartition("slab").sortWithinPartitions("slab", "idx").write.mode("append").option("compression", config["codec"]).parquet(self.path("blocks"))
         place = known.select("hash", "slab", "idx").unionByName(placed.select("hash", "slab", "idx"))
         found = chunks.select("stream_id", "pos", "len", "fill", "hash").join(place, "hash", "left")
@@ -144,7 +146,7 @@ class Archive:
         self._drop(f"staging-{pack}")
         return self.spark.createDataFrame([out.asDict()], "total_read long, fill_size long, n_chunks long, data_written long, duplicate long")
 
-    def _placed(self, fresh: DataFrame) -> DataFrame:
+    def _placed(self, fresh: DataFrame, pack_id: str) -> DataFrame:
         """hash, owner, len, slab, idx, begin: blocks in the order of their owners, in slabs of SLAB_BYTES, numbered on from the archive's.
 
         Ranges of the order are packed side by side, each beginning a slab of its own; then the slabs are numbered through."""
@@ -163,8 +165,8 @@ class Archive:
                 columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)]
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("hash", "stream_id", "pos", "len")] + columns, ["hash", "stream_id", "pos", "len", "part", "local", "idx", "begin"])
 
-        flat = fresh.select("hash", "owner.stream_id", "owner.pos", "len")
-        local = self._staged(flat.repartitionByRange("stream_id", "pos").sortWithinPartitions("stream_id", "pos").mapInArrow(pack, "hash binary, stream_id string, pos long, len long, part long, local long, idx long, begin long"), uuid.uuid4().hex, "local")
+        flat = self._staged(fresh.select("hash", "owner.stream_id", "owner.pos", "len"), pack_id, "fresh")  # ranges are sampled first
+        local = self._staged(flat.repartitionByRange("stream_id", "pos").sortWithinPartitions("stream_id", "pos").mapInArrow(pack, "hash binary, stream_id string, pos long, len long, part long, local long, idx long, begin long"), pack_id, "local")
         parts = local.groupBy("part").agg((F.max("local") + 1).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + base)  # a row for each task
         return local.join(F.broadcast(parts), "part").select("hash", F.struct("stream_id", "pos").alias("owner"), "len", (F.col("first") + F.col("local")).alias("slab"), "idx", "begin")
 
