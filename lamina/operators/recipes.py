@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import recipe_codec
@@ -14,24 +14,54 @@ from ..functions import recipe_codec
 BIN = 1 << 16
 
 
-def rle(entries: DataFrame) -> DataFrame:
+#: Numbers (seq) of a stream that are scanned together; runs that reach over their edges are joined afterwards.
+SHARE = 1 << 24
+
+
+def rle(entries: DataFrame, share: int = SHARE) -> DataFrame:
     """stream_id, seq, kind, fill, slab, offset, nr_entries, pos, len: neighbours that continue each other are one entry.
 
     entries: stream_id, seq, kind (fill, unmapped, data, partial), fill, slab, offset, nr_entries, len. Fills of one byte merge, and
-    unmapped ones, and data that goes on where the one before ends; partial ones never do. p_begin and p_end are kept if they are there."""
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(w))
-    goes_on = same("kind") & ((F.col("kind") == "unmapped") | ((F.col("kind") == "fill") & same("fill")) | ((F.col("kind") == "data") & same("slab") & (F.col("offset") == F.lag(F.col("offset") + F.col("nr_entries")).over(w))))
-    cut = entries.withColumn("_cut", F.when(goes_on, 0).otherwise(1)).withColumn("_pos", F.sum("len").over(w) - F.col("len"))
-    bounds = [c for c in ("p_begin", "p_end") if c in entries.columns]
-    first = F.min_by(F.struct("kind", "fill", "slab", "offset", "_pos", *bounds), "seq").alias("x")
-    runs = cut.withColumn("_run", F.sum("_cut").over(w)).groupBy("stream_id", "_run").agg(first, F.sum("nr_entries").alias("nr_entries"), F.sum("len").alias("len"))
-    return runs.select("stream_id", (F.col("_run") - 1).alias("seq"), "x.kind", "x.fill", "x.slab", "x.offset", "nr_entries", F.col("x._pos").alias("pos"), "len", *(f"x.{c}" for c in bounds))
+    unmapped ones, and data that goes on where the one before ends; partial ones never do. p_begin and p_end are kept if they are there.
 
-
-def running_positions(entries: DataFrame) -> DataFrame:
-    """With pos: the bytes of the stream before each entry."""
-    return entries.withColumn("pos", F.sum("len").over(Window.partitionBy("stream_id").orderBy("seq")) - F.col("len"))
+    A stream of any length is scanned in shares of its numbers. Only the first and last run of each share then meet those of the
+    next, and shares are summed up to give places."""
+    bounds = [c for c in ("p_begin", "p_end") if c in entries.columns]
+    fields = ["kind", "fill", "slab", "offset", *bounds]
+
+    def goes_on(w: Window) -> Column:
+        same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(w))
+        return same("kind") & ((F.col("kind") == "unmapped") | ((F.col("kind") == "fill") & same("fill")) | ((F.col("kind") == "data") & same("slab") & (F.col("offset") == F.lag(F.col("offset") + F.col("nr_entries")).over(w))))
+
+    of = ["stream_id", "_share"]
+    w = Window.partitionBy(*of).orderBy("seq")
+    cut = entries.withColumn("_share", F.floor(F.col("seq") / share)).withColumn("_cut", F.when(goes_on(w), 0).otherwise(1)).withColumn("_at", F.sum("len").over(w) - F.col("len"))
+    runs = cut.withColumn("_run", F.sum("_cut").over(w)).groupBy(*of, "_run").agg(F.min_by(F.struct(*fields, "_at"), "seq").alias("x"), F.sum("nr_entries").alias("nr_entries"), F.sum("len").alias("len"))
+    runs = runs.select(*of, "_run", "x.*", "nr_entries", "len").withColumn("_n", F.max("_run").over(Window.partitionBy(*of)))
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_n"))
+    w = Window.partitionBy("stream_id").orderBy("_share", "_run")
+    edges = runs.where(edge).withColumn("_on", F.coalesce(goes_on(w) & (F.lag("_share").over(w) != F.col("_share")), F.lit(False))).withColumn("_group", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
+    joined = edges.groupBy("stream_id", "_group").agg(F.min_by(F.struct("_share", "_run", *fields, "_at"), F.struct("_share", "_run")).alias("x"), F.sum("nr_entries").alias("nr_entries"), F.sum("len").alias("len"))
+    columns = [*of, "_run", *fields, "_at", "nr_entries", "len"]
+    every = runs.where(~edge).select(columns).unionByName(joined.select("stream_id", "x.*", "nr_entries", "len").select(columns))
+    # in the entries' order: each share's bytes, and the runs that begin in it
+    sizes = runs.groupBy(*of).agg(F.sum("len").alias("_bytes"), F.max("_n").alias("_n")).join(edges.where("_on").select(*of, F.lit(1).alias("_less")), of, "left")
+    before = Window.partitionBy("stream_id").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    less = F.coalesce("_less", F.lit(0))
+    sizes = sizes.select(*of, so_far(F.col("_bytes")).alias("_pos"), (so_far(F.col("_n") - less) - less).alias("_seq"))
+    out = every.join(sizes, of)
+    return out.select("stream_id", (F.col("_seq") + F.col("_run") - 1).alias("seq"), "kind", "fill", "slab", "offset", "nr_entries", (F.col("_pos") + F.col("_at")).alias("pos"), "len", *bounds)
+
+
+def running_positions(entries: DataFrame, share: int = SHARE) -> DataFrame:
+    """With pos: the bytes of the stream before each entry. Shares are summed by themselves, then through."""
+    of = ["stream_id", "_share"]
+    own = entries.withColumn("_share", F.floor(F.col("seq") / share))
+    before = Window.partitionBy("stream_id").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy(*of).agg(F.sum("len").alias("_bytes")).select(*of, F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_base"))
+    within = F.sum("len").over(Window.partitionBy(*of).orderBy("seq")) - F.col("len")
+    return own.withColumn("_at", within).join(base, of).withColumn("pos", F.col("_base") + F.col("_at")).drop("_share", "_base", "_at")
 
 
 def greedy_slabs(blocks: DataFrame, target: int) -> DataFrame:

@@ -132,10 +132,9 @@ class Archive:
         if kept is not None:
             entries = entries.unionByName(kept.select(entries.columns))
         entries = staged(entries.withColumn("seq", F.col("pos")), "entries")
-        runs = R.rle(entries)
-        numbered = runs.withColumn("seq", F.row_number().over(Window.partitionBy("stream_id").orderBy("pos")) - 1)
+        runs = R.rle(entries, share=1 << 36)  # numbered by bytes here
         cols = [c.split()[0] for c in _MAPPINGS.split(", ")]
-        numbered.withColumn("pack", F.lit(pack)).withColumn("seq", F.col("seq").cast("long")).select(cols).write.mode("append").parquet(self.path("mappings"))
+        runs.withColumn("pack", F.lit(pack)).withColumn("seq", F.col("seq").cast("long")).select(cols).write.mode("append").parquet(self.path("mappings"))
         size = entries.groupBy("stream_id").agg(F.sum("len").alias("size"), F.coalesce(F.sum(F.when(F.col("kind") != "unmapped", F.col("len"))), F.lit(0)).alias("mapped_size"))
         owned = placed.groupBy(F.col("owner.stream_id").alias("stream_id")).agg(F.sum("len").alias("packed_size"))
         ids = segments.select("stream_id").union(entries.select("stream_id")).distinct().join(size, "stream_id", "left").join(owned, "stream_id", "left")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.operators import runs
+from lamina.operators import recipes, runs
 from lamina.plans.archive import Archive, ArchiveError
 from lamina.streaming.ingest import ingest
 
@@ -110,3 +110,24 @@ def test_runs(spark, text, want, share):
 def test_dual_runs(spark, left, right, want, share):
     got = runs.dual_iter(bits(spark, left), bits(spark, right), F.lit(len(left)).cast("long"), share).orderBy("start").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_rle_in_shares(spark):
+    rng = random.Random(8)
+    rows = []
+    for stream in "ab":
+        for seq in range(120):
+            kind = rng.choice(("fill", "data", "data", "unmapped", "partial") if stream == "a" else ("fill", "data"))
+            rows.append((stream, seq, kind, rng.randint(0, 1) if kind == "fill" else None, 0 if kind in ("data", "partial") else None, seq if kind in ("data", "partial") else None, 1 if kind in ("data", "partial") else None, rng.randint(1, 9)))
+    entries = spark.createDataFrame(rows, "stream_id string, seq long, kind string, fill long, slab long, offset long, nr_entries long, len long")
+    want, pos = [], {}
+    for stream, _, kind, fill, slab, offset, n, size in rows:
+        last = want[-1] if want else None
+        at = pos.get(stream, 0)
+        pos[stream] = at + size
+        if last and last[0] == stream and kind != "partial" and last[2] == kind and (kind != "fill" or last[3] == fill) and (kind != "data" or last[5] + last[6] == offset):
+            want[-1] = (*last[:6], last[6] + 1 if n else None, last[7], last[8] + size)
+        else:
+            want.append((stream, last[1] + 1 if last and last[0] == stream else 0, kind, fill, slab, offset, n, at, size))
+    for share in (1, 2, 7, 1 << 24):
+        assert [tuple(r) for r in recipes.rle(entries, share).orderBy("stream_id", "seq").collect()] == want
