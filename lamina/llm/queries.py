@@ -88,6 +88,17 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
         SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links
         FROM documents d""",
+    "op6_suffix_dedup": """
+        WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        w AS MATERIALIZED (SELECT doc_id, s, sha256(array_slice(b, s + 1, s + 400)) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400)),
+        r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+        i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS cut FROM r),
+        g AS (SELECT doc_id, s, sum(cut) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM i),
+        x AS MATERIALIZED (SELECT doc_id, min(s) AS a, max(s) + 400 AS z FROM g GROUP BY doc_id, k),
+        f AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p, a AS q FROM x UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(n) FROM d LEFT JOIN x ON d.doc_id = x.doc_id GROUP BY d.doc_id),
+        k AS (SELECT f.doc_id, string_agg(CASE WHEN q > p THEN hex(array_slice(b, p + 1, q)) ELSE '' END, '' ORDER BY p) AS kept FROM f JOIN d ON f.doc_id = d.doc_id GROUP BY f.doc_id)
+        SELECT d.doc_id, n AS n_bytes, CAST(coalesce(t.m, 0) AS BIGINT) AS n_removed, coalesce(t.c, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM d JOIN k ON d.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, sum(z - a) AS m, count(*) AS c FROM x GROUP BY doc_id) t ON d.doc_id = t.doc_id""",
     "op8_url_filter": """
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
