@@ -19,6 +19,7 @@ BROADCAST_ROWS = 200_000
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 _run = uuid.uuid4().hex
+_used: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/lamina-{_run}"
-    atexit.register(_remove, spark, folder)
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(_remove, spark, folder)
     return folder
 
 
