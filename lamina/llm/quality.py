@@ -147,15 +147,16 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees | None:
     """Trees for label_col (1: good) over a bounded sample: the rows labels whose ids hash lowest. None where the
-    sample has one class only. Null ids, texts and labels aren't fitted on."""
+    sample has one class only. Null ids, texts and labels aren't fitted on, and of rows that share an id the one of the least text."""
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most `rows` rows of numbers
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))  # one of an id that is repeated
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [statistics(x)[1] for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.list_(pa.float64()))], ["id", "label", "features"])
 
-    known = arrow_pass(texts.select("id", "text", "label"), per_batch, f"id {dict(docs.dtypes)[id_col]}, label int, features array<double>").limit(2 * rows).toArrow().sort_by("id")
+    known = arrow_pass(texts.select("id", "text", "label"), per_batch, f"id {dict(docs.dtypes)[id_col]}, label int, features array<double>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     y = known["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
