@@ -90,6 +90,21 @@ def fill_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", S.fill_byte(F.encode(made, "UTF-8")).alias("fill"))
 
 
+_BYTE = "CAST('0x' || substr(hex({0}), 1, 2) AS INTEGER)"
+
+
+@query(f"SELECT doc_id, CASE WHEN octet_length(b) > 0 AND hex(b) = repeat(substr(hex(b), 1, 2), CAST(octet_length(b) AS BIGINT)) THEN {_BYTE.format('b')} END AS fill FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)")
+def fill_detect_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text, whatever its id and length; fill_detect looks at 40 characters at most."""
+    return _streams(spark, sf_dir).select(F.col("stream_id").alias("doc_id"), S.fill_byte(F.col("data")).alias("fill"))
+
+
+@query(f"WITH {_C} SELECT stream_id, seq, pos, CAST(len AS BIGINT) AS len, CASE WHEN is_fill THEN {_BYTE.format('data')} END AS fill FROM f")
+def fill_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document."""
+    return C.classified(C.fixed(_streams(spark, sf_dir), PIECE)).select("stream_id", "seq", "pos", "len", "fill")
+
+
 @query(f"WITH {_C} SELECT hash, stream_id, seq, len, hits FROM o WHERE rn = 1")
 def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.owners(_chunks(spark, sf_dir)).select("hash", "owner.stream_id", "owner.seq", "len", "hits")

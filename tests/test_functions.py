@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lamina import catalog
 from lamina.functions import recipe_codec as codec
 from lamina.functions import scalars as S
 from lamina.functions.splitter import READ, split, split_slowly
@@ -18,6 +20,18 @@ def test_pow2():
         S.adjust_block_size(8)
 
 
+def test_fills_of_whole_texts(spark, tmp_path):
+    texts = ["real text", "-" * 40 + "x", "-" * 600, "a" * 300 + "b" * 212, "", None, "é" * 300, "b"]
+    spark.createDataFrame([(3 * k, x) for k, x in enumerate(texts)] + [(1, " " * 40 + "y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {r.doc_id: r.fill for r in catalog.fill_detect_whole(spark, str(tmp_path)).collect()}
+    assert whole == {0: None, 3: None, 6: 45, 9: None, 12: None, 15: None, 18: None, 21: 98, 1: None}
+    own = [(r.stream_id, r.seq, r.len, r.fill) for r in catalog.fill_pieces(spark, str(tmp_path)).collect() if r.fill is not None]
+    assert sorted(own) == [(6, 0, 256, 45), (6, 1, 256, 45), (6, 2, 88, 45), (9, 0, 256, 97), (21, 0, 1, 98)]
+    made = [("", None), ("a", 97), ("b" * 39, 98), ("a" * 38 + "b", None)]
+    rows = spark.createDataFrame(made, "text string, fill int").select("fill", S.fill_byte(F.encode("text", "UTF-8")).alias("got"))
+    assert all(r.fill == r.got for r in rows.collect())
+
+
 def test_signed():
     assert [S.sign_extend(n, 3) for n in range(8)] == [0, 1, 2, 3, -4, -3, -2, -1]
     assert [S.as_signed(n, 4) for n in (-9, -8, -1, 0, 7, 8)] == [None, 8, 15, 0, 7, None]
