@@ -18,7 +18,10 @@ HEX = r"[0-9a-f]{32,}+"
 WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[a-z0-9+/_=-]*+[A-Z])(?=[A-Z0-9+/_=-]*+[a-z])[A-Za-z0-9+/_=-]{20,}+"
 ENDPOINT = r"(?:https?|s3|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9@:._~%/?#=&+-]++"
 KINDS = ("assign", "access", "hex", "weak_secret", "endpoint")
-#: A scope reaches so many characters before and after an access identifier or a secret.
+#: Identifiers of users, roles, groups and keys by their published prefixes. Like an access identifier they open a scope; they are no spans of their own.
+_PREFIX = r"(?:A3T[A-Z0-9]|ABIA|ACCA|AGPA|AIDA|AIPA|AKIA|ANPA|ANVA|AROA|ASCA|ASIA)"
+IDENTIFIER = rf"(?<![A-Za-z0-9]){_PREFIX}[A-Z0-9]{{12,}}+"
+#: A scope reaches so many characters before and after an identifier or a secret.
 REACH = 256
 _SPAN = "array<struct<s:int,e:int>>"
 
@@ -56,19 +59,21 @@ def spans(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _text (a number of the text) and an array of spans for each of KINDS. Weak kinds are looked for only in texts
-    that have an access identifier: elsewhere nothing complements them."""
+    """_id, _text (a number of the text) and an array of spans for each of KINDS and of identifier. Weak secrets are looked for in
+    texts with an identifier, endpoints in texts with an identifier or a base secret: elsewhere nothing complements them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(_SPAN)
     some = lambda test, found: F.when(test, found).otherwise(none).cast(_SPAN)
-    access = F.contains(text, F.lit("AKIA"))
+    assign, access, hexes = text.rlike(_KEY + r"""["']?\x20*[:=]"""), F.contains(text, F.lit("AKIA")), text.rlike("[0-9a-f]{32}")
+    named = access | text.rlike(IDENTIFIER)
     return docs.select(
         F.col(id_col).alias("_id"), text_id(text).alias("_text"),
-        some(text.rlike(_KEY + r"""["']?\x20*[:=]"""), spans(text, ASSIGN, 8, 1)).alias("assign"),
+        some(assign, spans(text, ASSIGN, 8, 1)).alias("assign"),
         some(access, spans(text, ACCESS, 16)).alias("access"),
-        some(text.rlike("[0-9a-f]{32}"), spans(text, HEX, 32)).alias("hex"),
-        some(access, spans(text, WEAK)).alias("weak_secret"),
-        some(access, spans(text, ENDPOINT)).alias("endpoint"),
+        some(hexes, spans(text, HEX, 32)).alias("hex"),
+        some(named, spans(text, WEAK)).alias("weak_secret"),
+        some(F.contains(text, F.lit("://")) & (named | assign | hexes), spans(text, ENDPOINT)).alias("endpoint"),
+        some(named, spans(text, IDENTIFIER)).alias("identifier"),
     )
 
 
@@ -84,15 +89,15 @@ def _within(parts: DataFrame, scopes: DataFrame, reach: int) -> DataFrame:
 
 
 def link(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """_id, _text, kind, s, e of the weak candidates that count, once each: a weak secret within reach of an access identifier, and
-    an endpoint within reach of an access identifier and of a secret, weak ones of this kind included. A weak candidate that overlaps a base span adds nothing."""
+    """_id, _text, kind, s, e of the weak candidates that count, once each: a weak secret within reach of an identifier, and an
+    endpoint within reach of a secret, weak ones of this kind included. A weak candidate that overlaps a base span adds nothing."""
     named = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    rows = found.where(F.size("access") > 0).select("_id", "_text", F.explode(F.concat(*map(named, KINDS))).alias("x")).select("_id", "_text", "x.*").distinct()
+    rows = found.where((F.size("weak_secret") > 0) | (F.size("endpoint") > 0)).select("_id", "_text", F.explode(F.concat(*map(named, (*KINDS, "identifier")))).alias("x")).select("_id", "_text", "x.*").distinct()
     of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
-    weak = _within(of("weak_secret"), of("access"), reach)
-    covered = _within(weak, of("assign", "access", "hex"), 0)  # such a one is reported as what it is
+    weak = _within(of("weak_secret"), of("access", "identifier"), reach)
+    covered = _within(weak, of("assign", "access", "hex", "identifier"), 0)  # such a one is reported as what it is, or names no secret
     weak = weak.join(covered, [weak[c].eqNullSafe(covered[c]) for c in weak.columns], "left_anti")
-    ends = _within(_within(of("endpoint"), of("access"), reach), of("assign", "hex").unionByName(weak), reach)
+    ends = _within(of("endpoint"), of("assign", "hex").unionByName(weak), reach)
     return weak.unionByName(ends)
 
 

@@ -120,6 +120,14 @@ def test_secrets(docs):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_weak_secrets_beside_any_complement(spark):
+    weak, end, far = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "https://db.example.com/x", " ." * 200
+    texts = [f"password=abcdefgh12 {end}", f"{'0a' * 16} {end}", f"ASIAABCDEFGHIJKLMNOP {weak} {end}", f"AROAABCDEFGHIJKLMNOP {weak}", f"{weak} {end}", f"password=abcdefgh12{far} {end}", f"ASIAABCDEFGHIJKLMNOP{far} {weak} {end}", "ASIAABCDEFGHIJKLMNOP " + end]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: [(x.kind, texts[r.doc_id][x.s : x.e]) for x in r.all_spans if x.kind in secret_scan.KINDS[3:]] for r in rows.collect()}
+    assert got == {0: [("endpoint", end)], 1: [("endpoint", end)], 2: [("weak_secret", weak), ("endpoint", end)], 3: [("weak_secret", weak)], 4: [], 5: [], 6: [], 7: []}
+
+
 def slow_classes(rows):
     sets = [frozenset(jaccard_join.shingles(t or "").tolist()) for _, t in rows]
     near = lambda a, b: bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
