@@ -1,7 +1,8 @@
 """Personal data: patterns over whole texts, and a skip-chain conditional random field that adds what the patterns miss.
 
 Tokens with a digit or an @ are nodes. Neighbours in the text share a potential, and so do tokens of equal or similar
-content however far apart; sum-product messages pass over both until they settle. What the patterns found is given."""
+content however far apart; sum-product messages pass over both until they settle, or have had rounds enough to cross every
+chain. What the patterns found is given."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from .common import arrow_pass
 KINDS = ("email", "ip", "card", "phone")
 #: Labels: 0 for none, then KINDS.
 LABELS = len(KINDS) + 1
-#: Probability from which a token that no pattern covers counts, rounds of messages and share of the old message kept.
+#: Probability from which a token that no pattern covers counts, rounds of messages besides those that cross the graph's nodes, and share of the old message kept.
 LEAST, ROUNDS, DAMPING = 0.8, 20, 0.3
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -212,14 +213,15 @@ def weights(texts: int = 500, steps: int = 300, seed: int = 7) -> tuple[np.ndarr
 
 def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Each node's distribution by loopy sum-product. unary: logs; edges: two nodes each; pair: logs, a matrix for each edge;
-    given: a node's label, or -1 for an open one."""
+    given: a node's label, or -1 for an open one. A damped message crosses an edge in 1 / (1 - DAMPING) rounds on average, so there are
+    twice as many rounds as nodes, and ROUNDS more, unless no message changes any more."""
     n = len(unary)
     local = np.where((given < 0)[:, None] | (np.arange(LABELS)[None, :] == given[:, None]), unary, -1e9)
     src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     back = np.concatenate((np.arange(len(edges)) + len(edges), np.arange(len(edges))))
     both = np.concatenate((pair, pair.transpose(0, 2, 1)))
     message = np.zeros((len(src), LABELS))
-    for _ in range(ROUNDS):
+    for _ in range(2 * n + ROUNDS):
         total = local.copy()
         np.add.at(total, dst, message)
         out = total[src] - message[back]

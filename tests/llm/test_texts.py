@@ -117,6 +117,20 @@ def test_beliefs_on_a_tree_are_exact():
         assert np.allclose(got[k], weight.sum(axes) / weight.sum(), atol=1e-3)
 
 
+def test_beliefs_cross_long_chains():
+    n = 60
+    edges = np.array([[k, k + 1] for k in range(n - 1)])
+    pair = np.repeat(6.0 * np.eye(pii.LABELS)[None], n - 1, 0)
+    given = np.full(n, -1)
+    given[0] = 4
+    step = np.exp(pair[0] - pair[0].max())
+    step /= step.sum(1, keepdims=True)
+    want = np.eye(pii.LABELS)[4]
+    for k, got in enumerate(pii.beliefs(np.zeros((n, pii.LABELS)), edges, pair, given)):
+        assert np.allclose(got, want, atol=1e-2), k
+        want = want @ step
+
+
 def slow_statistics(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
