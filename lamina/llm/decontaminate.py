@@ -15,6 +15,8 @@ from .common import KEY, ascii_lower, row_key, sized_join, stored
 WINDOW = 10
 #: Rarest terms of a window whose postings are intersected; the other words are compared where these agree.
 RAREST = 2
+#: Words by which a proximity match may be wider than a window.
+SLOP = 5
 #: A word, before A-Z are put in lower case: all but the ASCII characters that are no letter or digit. The ASCII ones that count are
 #: named one by one, for then the JVM looks them up in a table.
 WORD = rf"[{string.digits}{string.ascii_letters}\x80-\x{{10FFFF}}]+"
@@ -78,14 +80,30 @@ def phrase_matches(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
 
 
 def proximity_matches(index: Index, slop: int, rarest: int = 3, width: int = WINDOW) -> DataFrame:
-    """_k1, _k2, wid, pos: places from which each of a window's rarest different terms occurs within width + slop words, in any order."""
-    chosen = stored(anchors(index, width).groupBy("wid", "tid").agg(F.min("rank").alias("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("rank"))).where(F.col("rank") <= rarest), "near-terms")
-    chosen = chosen.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("wid")))
+    """_k1, _k2, wid, pos: places from which each of a window's rarest different terms occurs within width + slop words, in any order.
+
+    The rarest are taken among the terms that the training text has, so that words it lacks don't hide a near copy; a window
+    with fewer such terms than are asked for has no matches."""
+    counts = index.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    each = Window.partitionBy("wid")
+    places = index.windows.select("wid", F.explode("words").alias("w")).select("wid", F.lower("w").alias("term")).distinct().withColumn("need", F.least(F.count(F.lit(1)).over(each), F.lit(rarest)))
+    known = places.join(index.terms, "term").join(counts, "tid").withColumn("rank", F.row_number().over(each.orderBy("df", "tid"))).withColumn("some", F.count(F.lit(1)).over(each))
+    chosen = known.where((F.col("rank") <= rarest) & (F.col("some") >= F.col("need"))).select("wid", "tid", "need")
     near = Window.partitionBy(*KEY, "wid").orderBy("pos").rangeBetween(0, width + slop - 1)
     rows = sized_join(index.postings, stored(chosen, "near-anchors"), ["tid"]).select(*KEY, "wid", "tid", "pos", "need").distinct()
     return rows.withColumn("n", F.size(F.collect_set("tid").over(near))).where("n = need").select(*KEY, "wid", "pos").distinct()
 
 
+def near_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = SLOP) -> DataFrame:
+    """id, n_near (proximity matches: windows and places) and items (ids of their items, as strings, sorted) of each row."""
+    index = build(docs, items, id_col, text_col, item_col, item_text)
+    found = sized_join(proximity_matches(index, slop), index.windows.select("wid", "items"), ["wid"], rows=index.windows.count())
+    ids = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string"))))
+    results = stored(found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), ids.alias("_items")), "near-hits")
+    rows = sized_join(docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col))), results, KEY, "left")
+    return rows.select(F.col("_id").alias(id_col), F.coalesce("_n", F.lit(0)).alias("n_near"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """id, n_words, n_hit (words inside a match), items (ids of items with matches, as strings, sorted) of each row.
 

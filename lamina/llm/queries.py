@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.near_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
@@ -56,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("all_spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_pii, op4_pieces, op5_jaccard_join, op6_suffix_dedup, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_pii, op4_pieces, op5_jaccard_join, op6_suffix_dedup, op7_quality, op8_url_filter, op9_token_counts, op10_secret_scan, op1_proximity)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {

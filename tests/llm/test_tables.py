@@ -105,6 +105,15 @@ def test_proximity(spark):
     assert decontaminate.phrase_matches(docs, index).count() == 0
 
 
+def test_proximity_of_copies_with_an_unseen_word(spark):
+    copy = "a zebra b lion c tiger d puma"
+    docs = spark.createDataFrame([(1, copy), (1, copy), (2, "zebra " + "x " * 40 + "lion tiger puma"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "zebra lion tiger quokka puma"), (2, "zebra okapi tapir"), (3, "lion")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_near > 0, r["items"]) for r in decontaminate.near_items(docs, items).collect())
+    assert got[:2] == [(1, True, ["1", "3"])] * 2 and got[3] == (3, False, [])
+    assert decontaminate.near_items(docs.limit(0), items).count() == 0 and decontaminate.near_items(docs, items.limit(0)).where("n_near > 0").count() == 0
+
+
 def test_secrets(docs):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
