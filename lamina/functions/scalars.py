@@ -115,6 +115,15 @@ def human_size(n: Column) -> Column:
     return out
 
 
+def option_number(text: str | None, name: str) -> int | None:
+    """The number that an option's text stands for; none without a text. Only digits are a number."""
+    if text is None:
+        return None
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(f"couldn't parse {name}: {text!r}")
+    return int(text)
+
+
 def list_time(ts: Column) -> Column:
     return F.date_format(ts, "MMM dd yy HH:mm")
 

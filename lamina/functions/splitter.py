@@ -104,4 +104,11 @@ def split_slowly(data: bytes, block: int, read: int = READ) -> list[int]:
     return out
 
 
+def even(data: bytes, block: int) -> list[int]:
+    """The lengths of pieces of `block` bytes, the last one shorter."""
+    return [min(block, len(data) - at) for at in range(0, len(data), block)]
+
+
 Splitter = Callable[[bytes, int], list[int]]
+#: What an archive may be split by, under the names that its configuration has.
+SPLITTERS: dict[str, Splitter] = {"gear": split, "even": even}

@@ -82,8 +82,10 @@ def unseen(blocks: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def located(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each chunk with its block's owner; fills without one."""
-    return chunks.join(blocks.select("hash", "owner"), "hash", "left")
+    """Each chunk with its block's owner; fills without one. Fills have no hash, and are no part of the join: they would all meet in one task."""
+    owner = dict(blocks.dtypes)["owner"]
+    found = chunks.where("hash is not null").join(blocks.select("hash", "owner"), "hash", "left")
+    return found.unionByName(chunks.where("hash is null").withColumn("owner", F.lit(None).cast(owner)))
 
 
 def pack_stats(chunks: DataFrame) -> DataFrame:
@@ -94,6 +96,13 @@ def pack_stats(chunks: DataFrame) -> DataFrame:
     return total.select("*", (F.col("mapped_size") - F.col("data_written") - F.col("fill_size")).alias("duplicate"), F.try_divide("mapped_size", "data_written").alias("ratio"))
 
 
+def derived(stats: DataFrame, stream_written: Column, seconds: Column | None = None) -> DataFrame:
+    """With what a pack reports beside its sums: packed_size and ratio count the recipes' bytes too; bytes_per_second where the time is known."""
+    packed = F.col("data_written") + stream_written
+    out = stats.withColumn("packed_size", packed).withColumn("ratio", F.try_divide(F.col("mapped_size"), packed))
+    return out if seconds is None else out.withColumn("bytes_per_second", F.try_divide(F.col("mapped_size").cast("double"), seconds))
+
+
 def hit_histogram(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("hits").agg(F.count(F.lit(1)).alias("n_blocks"))
 

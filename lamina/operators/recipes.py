@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import recipe_codec
+from ..session import stored
 
 #: Bytes of a bin in interval joins.
 BIN = 1 << 16
@@ -18,29 +19,41 @@ BIN = 1 << 16
 SHARE = 1 << 24
 
 
-def rle(entries: DataFrame, share: int = SHARE) -> DataFrame:
-    """stream_id, seq, kind, fill, slab, offset, nr_entries, pos, len: neighbours that continue each other are one entry.
+_BESIDE = ("p_begin", "p_end", "begin")
+
+
+def share_runs(entries: DataFrame, share: int = SHARE) -> DataFrame:
+    """stream_id, _share, _run, _seq, kind, fill, slab, offset, _at, nr_entries, len: neighbours that continue each other within a share of a
+    stream's numbers are one run, numbered from 1; _seq is its first entry's number, _at the bytes before it in the share. One shuffle.
 
     entries: stream_id, seq, kind (fill, unmapped, data, partial), fill, slab, offset, nr_entries, len. Fills of one byte merge, and
-    unmapped ones, and data that goes on where the one before ends; partial ones never do. p_begin and p_end are kept if they are there.
+    unmapped ones, and data that goes on where the one before ends; partial ones never do. p_begin, p_end and begin are the first entry's, if
+    they are there."""
+    fields = ["kind", "fill", "slab", "offset", *(c for c in _BESIDE if c in entries.columns)]
+    of = ["stream_id", "_share"]
+    w = Window.partitionBy(*of).orderBy("seq")
+    cut = entries.withColumn("_share", F.floor(F.col("seq") / share)).withColumn("_cut", F.when(_goes_on(w), 0).otherwise(1)).withColumn("_at", F.sum("len").over(w) - F.col("len"))
+    runs = cut.withColumn("_run", F.sum("_cut").over(w)).groupBy(*of, "_run").agg(F.min_by(F.struct(*fields, "_at"), "seq").alias("x"), F.min("seq").alias("_seq"), F.sum("nr_entries").alias("nr_entries"), F.sum("len").alias("len"))
+    return runs.select(*of, "_run", "_seq", "x.*", "nr_entries", "len")
+
 
-    A stream of any length is scanned in shares of its numbers. Only the first and last run of each share then meet those of the
-    next, and shares are summed up to give places."""
-    bounds = [c for c in ("p_begin", "p_end") if c in entries.columns]
-    fields = ["kind", "fill", "slab", "offset", *bounds]
+def _goes_on(w: Window) -> Column:
+    same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(w))
+    return same("kind") & ((F.col("kind") == "unmapped") | ((F.col("kind") == "fill") & same("fill")) | ((F.col("kind") == "data") & same("slab") & (F.col("offset") == F.lag(F.col("offset") + F.col("nr_entries")).over(w))))
 
-    def goes_on(w: Window) -> Column:
-        same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(w))
-        return same("kind") & ((F.col("kind") == "unmapped") | ((F.col("kind") == "fill") & same("fill")) | ((F.col("kind") == "data") & same("slab") & (F.col("offset") == F.lag(F.col("offset") + F.col("nr_entries")).over(w))))
 
+def rle(entries: DataFrame, share: int = SHARE) -> DataFrame:
+    """stream_id, seq, kind, fill, slab, offset, nr_entries, pos, len: neighbours that continue each other are one entry; see share_runs().
+
+    A stream of any length is scanned in shares of its numbers, whose runs are stored. Only the first and last run of each share then meet
+    those of the next, and shares are summed up to give places."""
     of = ["stream_id", "_share"]
-    w = Window.partitionBy(*of).orderBy("seq")
-    cut = entries.withColumn("_share", F.floor(F.col("seq") / share)).withColumn("_cut", F.when(goes_on(w), 0).otherwise(1)).withColumn("_at", F.sum("len").over(w) - F.col("len"))
-    runs = cut.withColumn("_run", F.sum("_cut").over(w)).groupBy(*of, "_run").agg(F.min_by(F.struct(*fields, "_at"), "seq").alias("x"), F.sum("nr_entries").alias("nr_entries"), F.sum("len").alias("len"))
-    runs = runs.select(*of, "_run", "x.*", "nr_entries", "len").withColumn("_n", F.max("_run").over(Window.partitionBy(*of)))
+    found = share_runs(entries, share).drop("_seq")
+    fields = [c for c in found.columns if c not in (*of, "_run", "_at", "nr_entries", "len")]
+    runs = stored(found.withColumn("_n", F.max("_run").over(Window.partitionBy(*of))))
     edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_n"))
     w = Window.partitionBy("stream_id").orderBy("_share", "_run")
-    edges = runs.where(edge).withColumn("_on", F.coalesce(goes_on(w) & (F.lag("_share").over(w) != F.col("_share")), F.lit(False))).withColumn("_group", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
+    edges = runs.where(edge).withColumn("_on", F.coalesce(_goes_on(w) & (F.lag("_share").over(w) != F.col("_share")), F.lit(False))).withColumn("_group", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
     joined = edges.groupBy("stream_id", "_group").agg(F.min_by(F.struct("_share", "_run", *fields, "_at"), F.struct("_share", "_run")).alias("x"), F.sum("nr_entries").alias("nr_entries"), F.sum("len").alias("len"))
     columns = [*of, "_run", *fields, "_at", "nr_entries", "len"]
     every = runs.where(~edge).select(columns).unionByName(joined.select("stream_id", "x.*", "nr_entries", "len").select(columns))
@@ -51,7 +64,7 @@ def rle(entries: DataFrame, share: int = SHARE) -> DataFrame:
     less = F.coalesce("_less", F.lit(0))
     sizes = sizes.select(*of, so_far(F.col("_bytes")).alias("_pos"), (so_far(F.col("_n") - less) - less).alias("_seq"))
     out = every.join(sizes, of)
-    return out.select("stream_id", (F.col("_seq") + F.col("_run") - 1).alias("seq"), "kind", "fill", "slab", "offset", "nr_entries", (F.col("_pos") + F.col("_at")).alias("pos"), "len", *bounds)
+    return out.select("stream_id", (F.col("_seq") + F.col("_run") - 1).alias("seq"), "kind", "fill", "slab", "offset", "nr_entries", (F.col("_pos") + F.col("_at")).alias("pos"), "len", *fields[4:])
 
 
 def running_positions(entries: DataFrame, share: int = SHARE) -> DataFrame:
@@ -115,15 +128,36 @@ def _by_stream(recipes: DataFrame) -> DataFrame:
     return recipes.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", *own))).alias("entries"))
 
 
+#: Blocks that one instruction can emit.
+LONGEST_RUN = (1 << 20) - 1
+
+
+def short_runs(entries: list[tuple], lengths: list[int]) -> tuple[list[tuple], list[int]]:
+    """The entries and their lengths, with runs of data that no instruction could emit as several. The last of these has the run's bytes:
+    how many the others have is not known here."""
+    if all(e[0] != "data" or e[3] <= LONGEST_RUN for e in entries):
+        return entries, lengths
+    out, sizes = [], []
+    for entry, n in zip(entries, lengths, strict=True):
+        while entry[0] == "data" and entry[3] > LONGEST_RUN:
+            kind, slab, offset, count = entry
+            out.append((kind, slab, offset, LONGEST_RUN))
+            sizes.append(0)
+            entry = (kind, slab, offset + LONGEST_RUN, count - LONGEST_RUN)
+        out.append(entry)
+        sizes.append(n)
+    return out, sizes
+
+
 def encoded(recipes: DataFrame) -> DataFrame:
-    """stream_id, raw: each stream's recipe as bytes."""
+    """stream_id, raw: each stream's recipe as bytes. Runs of any length are encoded, very long ones as several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = []
             for entries in batch.column("entries").to_pylist():
                 rows = [_entry(*(e[c] for c in _ENTRY)) for e in entries]
-                raws.append(recipe_codec.encode(rows, [e["len"] for e in entries]))
+                raws.append(recipe_codec.encode(*short_runs(rows, [e["len"] for e in entries])))
             yield pa.RecordBatch.from_arrays([batch.column("stream_id"), pa.array(raws, pa.binary())], ["stream_id", "raw"])
 
     return _by_stream(recipes).mapInArrow(run, f"stream_id {dict(recipes.dtypes)['stream_id']}, raw binary")

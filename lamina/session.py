@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that a side of a join may have, as counted, to be sent to every executor.
-BROADCAST_ROWS = 200_000
-
-
 def ready(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver found it, if it isn't installed."""
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -26,9 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir, removed when the driver ends. Where that is unset, under one of our own in local mode, as in
+    tests; on a cluster, whose machines don't share one, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/archive-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/archive-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once in the shared folder, for a plan that reads it more than once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
