@@ -11,7 +11,7 @@ from .operators import recipes as R
 from .operators import runs as B
 from .plans.archive import Archive
 from .session import shared_folder, table
-from .sources import payloads
+from .sources import payloads, slab_file
 from .streaming import ingest
 
 #: Bytes of a piece where streams are split evenly, and of a slab and a data block in the queries.
@@ -299,3 +299,110 @@ def segmented_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("segment"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     archive.pack(turns.withColumn("len", F.octet_length("data").cast("long")))
     return archive.unpack().select(F.col("stream_id").cast("long").alias("conv_id"), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
+
+
+# ---- the archive's commands
+
+
+@query(f"""WITH {_C} SELECT CAST((SELECT coalesce(sum(len), 0) FROM x) AS BIGINT) AS total_read, CAST((SELECT coalesce(sum(len), 0) FROM x WHERE is_fill) AS BIGINT) AS fill_size, (SELECT count(*) FROM x) AS n_chunks,
+       CAST((SELECT coalesce(sum(len), 0) FROM o WHERE rn = 1) AS BIGINT) AS data_written, CAST((SELECT coalesce(sum(len), 0) FROM o WHERE rn > 1) AS BIGINT) AS duplicate""")
+def archive_pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pack reports, in an archive that splits evenly."""
+    return Archive(spark, shared_folder(spark)).create(block_size=PIECE, splitter="even").pack(_streams(spark, sf_dir))
+
+
+@query(f"WITH {_C} SELECT count(*) AS n_blocks, CAST(coalesce(sum(len), 0) AS BIGINT) AS data_bytes FROM o WHERE rn = 1")
+def archive_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive's gauges after two packs."""
+    archive = Archive(spark, shared_folder(spark)).create(block_size=PIECE, splitter="even")
+    streams = _streams(spark, sf_dir)
+    archive.pack(streams.where("stream_id % 3 = 0"))
+    archive.pack(streams)
+    return archive.sizes().select("n_blocks", "data_bytes")
+
+
+_SIZES = "s AS (SELECT CAST(doc_id AS VARCHAR) AS stream_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM documents)"
+
+
+@query(f"WITH {_SIZES} SELECT stream_id, size, stream_id AS name, lpad(CAST(size AS VARCHAR), CAST((SELECT max(length(CAST(size AS VARCHAR))) FROM s) AS INTEGER), ' ') AS size_text FROM s")
+def archive_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of an archive, without the time of packing."""
+    archive = Archive(spark, shared_folder(spark)).create()
+    archive.pack(_streams(spark, sf_dir))
+    return archive.list().drop("time")
+
+
+_BYTES = "d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)"
+
+
+@query(f"WITH {_BYTES}, q AS (SELECT *, n // 4 AS q FROM d), w AS (SELECT doc_id, unhex(hex(array_slice(b, 1, q)) || hex(array_slice(b, 1, q)) || repeat('00', q) || hex(array_slice(b, 3 * q + 1, n))) AS v FROM q) SELECT doc_id, CAST(octet_length(v) AS BIGINT) AS n_bytes, sha256(v) AS digest FROM w")
+def delta_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's next version, packed as a change of the first: its second quarter is new, its third a hole, the others are as they were."""
+    archive = Archive(spark, shared_folder(spark)).create(block_size=256)
+    streams = _streams(spark, sf_dir)
+    archive.pack(streams)
+    n = F.octet_length("data").cast("long")
+    q = F.floor(n / 4)
+    part = lambda k, kind, pos, size, data: F.struct(F.lit(k).cast("long").alias("segment"), F.lit(kind).alias("kind"), pos.alias("pos"), size.alias("len"), data.alias("data"))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    parts = F.array(part(0, "ref", zero, q, none), part(1, "mapped", q, q, F.substring(F.col("data"), F.lit(1), q.cast("int"))), part(2, "unmapped", 2 * q, q, none), part(3, "ref", 3 * q, n - 3 * q, none))
+    segments = streams.select(F.concat(F.col("stream_id").cast("string"), F.lit("+")).alias("stream_id"), F.col("stream_id").alias("base"), F.explode(parts).alias("x")).select("stream_id", "base", "x.*")
+    archive.pack_deltas(segments)
+    rows = archive.unpack().where("stream_id like '%+'")
+    return rows.select(F.rtrim(F.col("stream_id"), F.lit("+")).cast("long").alias("doc_id"), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("digest"))
+
+
+#: Bytes of the hole in the middle of a stream, and of a target's block, in the queries below.
+HOLE, TARGET = 100, 64
+
+
+def _with_holes(streams: DataFrame) -> DataFrame:
+    """Segments of streams that have a hole after their first half."""
+    n = F.octet_length("data").cast("long")
+    h = F.floor(n / 2)
+    part = lambda k, size, data: F.struct(F.lit(k).cast("long").alias("segment"), size.alias("len"), data.alias("data"))
+    parts = F.array(part(0, h, F.substring(F.col("data"), F.lit(1), h.cast("int"))), part(1, F.lit(HOLE).cast("long"), F.lit(None).cast("binary")), part(2, n - h, F.substring(F.col("data"), h.cast("int") + 1, (n - h).cast("int"))))
+    return streams.select("stream_id", F.explode(parts).alias("x")).select("stream_id", "x.*")
+
+
+@query(f"""WITH {_BYTES}, c AS (SELECT doc_id, n, n // 2 AS h, CASE WHEN n < 2 THEN 0 ELSE doc_id % 4 END AS c FROM d)
+       SELECT CAST(doc_id AS VARCHAR) AS stream_id, c = 0 AS ok, CASE c WHEN 1 THEN 'archive longer than input' WHEN 2 THEN 'expected a hole' WHEN 3 THEN 'data mismatch' END AS reason, CASE c WHEN 1 THEN n + {HOLE - 1} WHEN 2 THEN h WHEN 3 THEN 0 END AS position FROM c""")
+def verify_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams with holes against their sources: the same, one byte less, zeros for the hole, and another first byte."""
+    archive = Archive(spark, shared_folder(spark)).create(block_size=256)
+    segments = _with_holes(_streams(spark, sf_dir))
+    archive.pack(segments)
+    sizes = _streams(spark, sf_dir).select("stream_id", F.when(F.octet_length("data") < 2, 0).otherwise(F.col("stream_id") % 4).alias("c"))
+    one = segments.join(sizes, "stream_id")
+    data = F.when((F.col("c") == 1) & (F.col("segment") == 2), F.substring(F.col("data"), F.lit(1), F.octet_length("data") - 1))
+    data = data.when((F.col("c") == 2) & (F.col("segment") == 1), F.unhex(F.repeat(F.lit("00"), HOLE)))
+    data = data.when((F.col("c") == 3) & (F.col("segment") == 0), F.concat(F.lit(b"\x01"), F.substring(F.col("data"), F.lit(2), F.octet_length("data")))).otherwise(F.col("data"))
+    one = one.withColumn("data", data).withColumn("len", F.coalesce(F.octet_length("data").cast("long"), F.col("len"))).drop("c")
+    return archive.verify(one).select("stream_id", "ok", "reason", "position")
+
+
+@query(f"""WITH {_BYTES}, k AS (SELECT doc_id, n // 2 AS h, k, k * {TARGET} AS lo, least(k * {TARGET} + {TARGET}, n + {HOLE}) AS hi FROM (SELECT doc_id, n, unnest(range(0, (n + {HOLE + TARGET - 1}) // {TARGET})) AS k FROM d)),
+       b AS (SELECT doc_id, k, hi - lo AS n, greatest(0, least(hi, h + {HOLE}) - greatest(lo, h)) AS hole FROM k),
+       a AS (SELECT doc_id, CASE WHEN k % 4 IN (1, 2) THEN 'write' ELSE 'skip' END AS action, n - hole AS n FROM b UNION ALL SELECT doc_id, CASE WHEN k % 4 = 2 THEN 'forward' ELSE 'discard' END, hole FROM b)
+       SELECT CAST(doc_id AS VARCHAR) AS stream_id, action, CAST(sum(n) AS BIGINT) AS n_bytes FROM a GROUP BY ALL HAVING sum(n) > 0""")
+def thin_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams with holes over targets of whose blocks every fourth is wrong and every fourth isn't there: bytes by action."""
+    archive = Archive(spark, shared_folder(spark)).create(block_size=256)
+    streams = _streams(spark, sf_dir)
+    archive.pack(_with_holes(streams))
+    h = F.floor(F.octet_length("data") / 2).cast("int")
+    whole = streams.withColumn("data", F.concat(F.substring(F.col("data"), F.lit(1), h), F.unhex(F.repeat(F.lit("00"), HOLE)), F.substring(F.col("data"), h + 1, F.octet_length("data"))))
+    wrong = F.unhex(F.repeat(F.lit("01"), F.col("len").cast("int")))
+    present = C.fixed(whole, TARGET).where("seq % 4 <> 2").select("stream_id", F.col("seq").alias("block"), F.when(F.col("seq") % 4 == 1, wrong).otherwise(F.col("data")).alias("data"))
+    targets = whole.select("stream_id", F.octet_length("data").cast("long").alias("size"))
+    return archive.restore(present, TARGET, targets).groupBy("stream_id", "action").agg(F.sum("len").alias("n_bytes"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS slab, CAST(octet_length(encode(n_name)) AS BIGINT) AS n_bytes, sha256(encode(n_name)) AS digest FROM nation")
+def slab_file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slab file of the nations' names (25 rows), read by slabs."""
+    names = [r[0].encode() for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    path = f"{shared_folder(spark)}.slabs"
+    slab_file.write(path, names)
+    spark.dataSource.register(slab_file.SlabFile)
+    return spark.read.format("slab_file").option("slabsPerPartition", "4").load(path).select("slab", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import recipes, runs
 from lamina.plans.archive import Archive, ArchiveError
-from lamina.streaming.ingest import ingest
+from lamina.streaming.ingest import first_seen, ingest
 
 
 @pytest.fixture
@@ -131,3 +131,55 @@ def test_rle_in_shares(spark):
             want.append((stream, last[1] + 1 if last and last[0] == stream else 0, kind, fill, slab, offset, n, at, size))
     for share in (1, 2, 7, 1 << 24):
         assert [tuple(r) for r in recipes.rle(entries, share).orderBy("stream_id", "seq").collect()] == want
+
+
+def test_first_seen_after_a_failure(spark, tmp_path):
+    """A crash between a batch's write and its commit: the batch runs again."""
+    for k, rows in enumerate(([("a", 1), ("b", 2)], [("b", 3), ("c", 4)])):
+        spark.createDataFrame(rows, "key string, n long").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    store, checkpoint = str(tmp_path / "store"), str(tmp_path / "checkpoint")
+
+    def run():
+        rows = spark.readStream.schema("key string, n long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        first_seen(rows, "key", "n", store, checkpoint).awaitTermination()
+        return sorted((r.key, r.n) for r in spark.read.parquet(store).collect())
+
+    want = run()
+    assert [k for k, _ in want] == ["a", "b", "c"]
+    last = max(int(p.name) for p in (tmp_path / "checkpoint/commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "checkpoint/commits").glob(f"*{last}*"):
+        p.unlink()
+    assert run() == want
+
+
+def test_splitters_and_pruned_reads(spark, tmp_path, monkeypatch):
+    from lamina.plans import archive as module
+
+    monkeypatch.setattr(module, "SLAB_BYTES", 1_000)
+    monkeypatch.setattr(module, "SHARE_SLABS", 2)
+    own = Archive(spark, str(tmp_path / "even")).create(block_size=256, splitter="even")
+    data = {f"s{k}": random.Random(k).randbytes(5_000 + k) for k in range(5)}
+    own.pack(streams(spark, **data))
+    assert {r.len for r in own.pieces().collect()} == {256, *(len(x) % 256 for x in data.values())}
+    assert {r.stream_id: bytes(r.data) for r in own.unpack(["s3", "s1"]).collect()} == {k: data[k] for k in ("s1", "s3")}
+    assert own.blocks().select("share").distinct().count() > 2
+    with pytest.raises(ArchiveError):
+        Archive(spark, str(tmp_path / "x")).create(splitter="none")
+
+
+def test_restore_checks_sizes(spark, archive):
+    archive.pack(streams(spark, a=b"x" * 300))
+    none = spark.createDataFrame([], "stream_id string, block long, data binary")
+    with pytest.raises(ArchiveError):
+        archive.restore(none, 64, spark.createDataFrame([("a", 301)], "stream_id string, size long"))
+    rows = archive.restore(none, 64, spark.createDataFrame([("a", 300)], "stream_id string, size long")).orderBy("pos").collect()
+    assert b"".join(bytes(r.data) for r in rows) == b"x" * 300 and {r.action for r in rows} == {"write"}
+
+
+def test_verify_names_places(spark, archive):
+    raw = random.Random(5).randbytes(200_000)
+    archive.pack(streams(spark, a=raw))
+    row = archive.verify(streams(spark, a=raw[:150_000] + bytes([raw[150_000] ^ 1]) + raw[150_001:])).first()
+    assert row.reason == "data mismatch" and 0 <= 150_000 - row.position <= 16 * 4096 and row.verified == row.position
+    holes = spark.createDataFrame([("a", 0, 200_000, None)], "stream_id string, segment long, len long, data binary")
+    assert archive.verify(holes).first().reason == "expected data"

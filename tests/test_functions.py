@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lamina import catalog
 from lamina.functions import recipe_codec as codec
 from lamina.functions import scalars as S
-from lamina.functions.splitter import READ, split, split_slowly
+from lamina.functions.splitter import READ, even, split, split_slowly
+from lamina.operators.recipes import short_runs
 from lamina.sources import slab_file
 
 
@@ -134,3 +135,24 @@ def test_slab_file(spark, tmp_path, compressed):
     (tmp_path / "bad").write_bytes(raw if compressed else raw[:16] + b"\0" + raw[17:])
     with pytest.raises(Exception, match="damaged|no slab"):
         spark.read.format("slab_file").load(str(tmp_path / "bad")).collect()
+
+
+def test_runs_of_any_length_are_encoded():
+    entries = [("data", 3, 0, (1 << 20) * 3 + 5), ("data", 3, 7, 2)]
+    back, _ = codec.decode(codec.encode(*short_runs(entries, [9, 2])))
+    assert sum(e[3] for e in back[:-1]) == entries[0][3] and back[-1] == entries[1]
+    at = 0
+    for _, slab, offset, n in back[:-1]:
+        assert (slab, offset) == (3, at)
+        at += n
+
+
+def test_option_numbers():
+    assert (S.option_number("4096", "block size"), S.option_number(None, "block size")) == (4096, None)
+    for bad in ("", "4k", "-1", "1.0", "\u0661"):
+        with pytest.raises(ValueError):
+            S.option_number(bad, "block size")
+
+
+def test_even_pieces():
+    assert even(b"abcdefg", 3) == [3, 3, 1] and even(b"", 3) == []
