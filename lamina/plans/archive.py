@@ -6,11 +6,12 @@ stream exists once its row in streams is written, which comes last; what an inte
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..functions.scalars import adjust_block_size, blake2b_256, fill_byte, human
 from ..functions.splitter import SPLITTERS
 from ..operators import chunks as C
 from ..operators import recipes as R
+from ..session import ready
 
 SLAB_BYTES = 4 << 20
 #: Slabs of a share: blocks are stored in a folder for each share, so that readers of few slabs read few files. Bytes of a stream whose
@@ -47,6 +49,12 @@ def _placed_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("pos", F.coalesce(F.sum("len").over(w), F.lit(0)))
 
 
+def _together(*jobs: Callable) -> list:
+    """The jobs' results. They run side by side, as none needs another's."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def _filled(byte: Column, n: Column) -> Column:
     """n bytes of one value."""
     return F.unhex(F.repeat(F.lpad(F.hex(byte), 2, F.lit("0")), n.cast("int")))
@@ -57,6 +65,9 @@ class Archive:
     spark: SparkSession
     root: str
 
+    def __post_init__(self):
+        ready(self.spark)
+
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
@@ -143,18 +154,21 @@ class Archive:
         staged = lambda df, what: self._staged(df, pack, what)
         if "pos" not in segments.columns:
             segments = _placed_segments(segments)
-        if not segments.groupBy("stream_id", "segment").count().where("count > 1").isEmpty():
-            raise ArchiveError("a stream is given twice")
+        twice = segments.groupBy("stream_id", "segment").count().where("count > 1")
         whole = segments.where("data is not null").select(F.struct("stream_id", "segment", "pos").alias("stream_id"), "data")
         cut = C.content_defined(whole, config["block_size"], SPLITTERS[config["splitter_alg"]])
         cut = cut.select("stream_id.stream_id", "stream_id.segment", F.col("stream_id.pos").alias("at"), "seq", "pos", "len", "data")
         cut = cut.select("stream_id", (F.col("at") + F.col("pos")).alias("pos"), "len", "data").withColumn("fill", fill_byte(F.col("data")))
-        chunks = staged(cut.withColumn("hash", F.when(F.col("fill").isNull(), blake2b_256(F.col("data")))), "chunks")
+        hashed = cut.withColumn("hash", F.when(F.col("fill").isNull(), blake2b_256(F.col("data"))))
+        chunks, once, base = _together(lambda: staged(hashed, "chunks"), twice.isEmpty, self._next_slab)
+        if not once:
+            self._drop(f"staging-{pack}")
+            raise ArchiveError("a stream is given twice")
         known = self.blocks().select("hash", "slab", "idx", "begin")
-        placed = self._placed(C.unseen(C.owners(chunks, ("stream_id", "pos")), known), pack)
+        placed = self._placed(C.unseen(C.owners(chunks, ("stream_id", "pos")), known), pack, base)
         rows = chunks.drop("len").join(placed, ["hash", "stream_id", "pos"]).select("hash", "slab", "idx", "begin", "len", "data", F.floor(F.col("slab") / SHARE_SLABS).alias("share"))
         rows = rows.repartition("share", F.col("slab") % 8).sortWithinPartitions("share", "slab", "idx")
-        rows.write.mode("append").partitionBy("share").option("compression", config["codec"]).parquet(self.path("blocks"))
+        blocks = rows.write.mode("append").partitionBy("share").option("compression", config["codec"])
         place = known.unionByName(placed.select("hash", "slab", "idx", "begin"))
         none = lambda *names: [F.lit(None).cast("long").alias(c) for c in names]
         found = chunks.where("hash is not null").select("stream_id", "pos", "len", "hash").join(place, "hash")
@@ -166,24 +180,26 @@ class Archive:
             entries = entries.unionByName(kept.select(entries.columns))
         runs = R.share_runs(entries.withColumn("seq", F.col("pos")), share=1 << 36)  # numbered by bytes here; a run ends with its share
         runs = runs.select("stream_id", F.col("_seq").alias("seq"), F.col("_seq").alias("pos"), *(c for c in entries.columns if c not in ("stream_id", "pos")), F.lit(pack).alias("pack"))
-        runs.write.mode("append").partitionBy("pack").parquet(self.path("mappings"))
+        mappings = runs.write.mode("append").partitionBy("pack")
+        stats = chunks.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total_read"), F.coalesce(F.sum(F.when(F.col("fill").isNotNull(), F.col("len"))), F.lit(0)).alias("fill_size"), F.count(F.lit(1)).alias("n_chunks")).crossJoin(F.broadcast(placed.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("data_written"))))  # one row each
+        _, _, out = _together(lambda: blocks.parquet(self.path("blocks")), lambda: mappings.parquet(self.path("mappings")), stats.withColumn("duplicate", F.col("total_read") - F.col("fill_size") - F.col("data_written")).first)
         mapped = self._read("mappings", _MAPPINGS).where(F.col("pack") == pack)
         size = mapped.groupBy("stream_id").agg(F.sum("len").alias("size"), F.coalesce(F.sum(F.when(F.col("kind") != "unmapped", F.col("len"))), F.lit(0)).alias("mapped_size"))
         owned = placed.groupBy("stream_id").agg(F.sum("len").alias("packed_size"))
         ids = segments.select("stream_id").union(mapped.select("stream_id")).distinct().join(size, "stream_id", "left").join(owned, "stream_id", "left")
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
         ids.select("stream_id", F.coalesce(F.lit(name), F.col("stream_id")).alias("name"), F.lit(source_path).cast("string").alias("source_path"), F.current_timestamp().alias("pack_time"), zero("size"), zero("mapped_size"), zero("packed_size"), F.lit(None).cast("int").alias("thin_id"), F.lit(pack).alias("pack")).coalesce(8).write.mode("append").parquet(self.path("streams"))
-        stats = chunks.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total_read"), F.coalesce(F.sum(F.when(F.col("fill").isNotNull(), F.col("len"))), F.lit(0)).alias("fill_size"), F.count(F.lit(1)).alias("n_chunks")).crossJoin(F.broadcast(placed.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("data_written"))))  # one row each
-        out = stats.withColumn("duplicate", F.col("total_read") - F.col("fill_size") - F.col("data_written")).first()
         self._drop(f"staging-{pack}")
         return self.spark.createDataFrame([out.asDict()], "total_read long, fill_size long, n_chunks long, data_written long, duplicate long")
 
-    def _placed(self, fresh: DataFrame, pack_id: str) -> DataFrame:
+    def _next_slab(self) -> int:
+        return self.blocks().agg(F.coalesce(F.max("slab") + 1, F.lit(0))).first()[0]
+
+    def _placed(self, fresh: DataFrame, pack_id: str, base: int) -> DataFrame:
         """hash, stream_id, pos (of the owner), len, slab, idx, begin: blocks in the order of their owners, in slabs of SLAB_BYTES, numbered on
         from the archive's.
 
         Stretches of DEALT bytes of a stream are dealt to tasks, and each task begins a slab of its own; then the slabs are numbered through."""
-        base = self.blocks().agg(F.coalesce(F.max("slab") + 1, F.lit(0))).first()[0]
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, size, slab, idx = TaskContext.get().partitionId(), 0, 0, 0
