@@ -6,20 +6,23 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from ..session import ready
 
-#: Rows that one side of a join may have, as counted, to be sent to every executor.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes that one side of a join may have, as counted, to be sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Rows and bytes handed to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 _run = uuid.uuid4().hex
 _used: set[str] = set()
+_tables: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,16 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches bounded by rows and by bytes, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches bounded by rows and by bytes, so that long texts don't add up in a worker. Spark reads these settings of the session
+    as it runs a plan, so they stay for the session; smaller ones that are there are left."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(key).strip()
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this run under spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
+    """A folder of this run under spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, as in tests; on a cluster,
+    whose machines don't share one, an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (sc.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lamina-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -58,19 +67,64 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: computed once, its lineage cut, and no executor's loss loses it."""
+    """df written as a table in the shared folder and read again: computed once, its lineage cut, and no executor's loss loses it.
+    The table stays until the scratch() about it ends, or the driver does."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _tables:
+        _tables[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """large joined to small: by broadcast if small, counted, has at most BROADCAST_ROWS rows; else by a shuffle of both, in which
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored() within it are removed at its end, but for those stored by the function that it gives: these are of whoever called,
+    and must not depend on others but by having been written."""
+    _tables.append([])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        if len(_tables) > 1:
+            _tables[-2].append(_tables[-1][-1])
+        _tables[-1].pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        for path in _tables.pop():
+            _remove(spark, path)
+
+
+def row_bytes(kind: DataType, c: Column) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, StringType | BinaryType):
+        out = F.octet_length(c) + 24
+    elif isinstance(kind, ArrayType):
+        inner = kind.elementType
+        fixed = not isinstance(inner, StringType | BinaryType | ArrayType | StructType)
+        out = F.size(c) * 8 + 24 if fixed else F.aggregate(c, F.lit(24).cast("long"), lambda total, x: total + row_bytes(inner, x).cast("long"))
+    elif isinstance(kind, StructType):
+        out = sum((row_bytes(f.dataType, c[f.name]) for f in kind.fields), F.lit(16))
+    else:
+        return F.lit(8)
+    return F.coalesce(out, F.lit(8))
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether df, counted by rows and bytes, may be sent to every executor. It must be cheap to read: a stored table or an aggregate of one."""
+    size = sum((row_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(32).cast("long"))
+    rows, total = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
+
+
+def sized_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", fits: bool | None = None) -> DataFrame:
+    """large joined to small: by broadcast if small is_small(); else by a shuffle of both, in which
     Spark splits what a hot key brings to one task (spark.sql.adaptive.skewJoin) and sends small's rows of that key to each part.
 
-    small must be cheap to count: a stored table or an aggregate of one. how: inner, left or left_semi, all of which can be split."""
-    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
+    how: inner, left or left_semi, all of which can be split."""
+    if is_small(small) if fits is None else fits:
         return large.join(F.broadcast(small), on, how)
     return large.join(small.hint("merge"), on, how)
 
@@ -83,10 +137,30 @@ def arrow_pass(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBat
         for batch in batches:
             if (out := per_batch(batch)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()  # a worker lives on, beside those of the next stage
 
     return df.mapInArrow(over, schema)
 
 
+class Kept(dict):
+    """Results that a worker keeps by a key (str or bytes) from batch to batch, up to about `most` bytes and what one call adds:
+    workers are used again by later stages, and whatever they hold stands beside those stages' own."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def room(self) -> None:
+        """To be called before results are looked up that shall be there later in the same call."""
+        if self.size > self.most:
+            self.clear()
+            self.size = 0
+
+    def add(self, found: dict) -> None:
+        self.update(found)
+        self.size += 180 * len(found) + 2 * sum(map(len, found))
+
+
 def ascii_lower(c: Column) -> Column:
     """c with A-Z, and no other letters, in lower case."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,3 +177,12 @@ def row_key(id_col: Column, text: Column) -> list[Column]:
 
 
 KEY = ["_k1", "_k2"]
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row (all of docs' columns, whatever their names), _k1 and _k2."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *row_key(F.col(id_col), F.col(text_col)))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")

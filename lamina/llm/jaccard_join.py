@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, arrow_pass, row_key, sized_join, small_batches, stored
+from .common import KEY, Kept, arrow_pass, packed, row_key, scratch, sized_join, small_batches, stored, unpacked
 from .components import components
 
 WORDS = 5
@@ -23,8 +23,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 32, 4
 #: MinHash values compared in a step, and the probability of reaching LEAST under which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-8
-#: Members of a block: a group of candidates is met in pairs of blocks, so that no task holds more than two.
-BLOCK = 256
+#: Members and bytes of text of a block, about: a group of candidates is met in pairs of blocks, so that no task holds more than two.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 _HASHES = BANDS * ROWS
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,17 +32,18 @@ _ADD = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
-class _Hashes(dict):
-    """Words' hashes, kept up to a number of words."""
+class _Hashes(Kept):
+    """Words' hashes; long words' are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 48:
+            self.room()
+            self.add({word: value})
         return value
 
 
-_hashes = _Hashes()
+_hashes = _Hashes(8 << 20)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -60,6 +61,28 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def exact_sets(texts: list[bytes]) -> tuple[list[np.ndarray], int]:
+    """Each text's set of shingles, as sorted numbers that stand for the words themselves: equal shingles of any of the texts have
+    one number. And how many numbers there are. The texts are words with a space between."""
+    known: dict[bytes, int] = {b"": 0}
+    rows = []
+    for text in texts:
+        words = text.split(b" ")
+        row = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        rows.append(row if len(row) >= WORDS else np.concatenate((row, np.zeros(WORDS - len(row), np.int64))))  # 0 is no word
+    counts = [len(r) - WORDS + 1 for r in rows]
+    ids = np.concatenate([r[:n] for r, n in zip(rows, counts, strict=True)])
+    for k in range(1, WORDS):  # ranks of pairs of ranks
+        ids = np.unique(ids * np.int64(len(known)) + np.concatenate([r[k : n + k] for r, n in zip(rows, counts, strict=True)]), return_inverse=True)[1]
+    ends = np.cumsum([0, *counts])
+    return [np.unique(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], int(ids.max(initial=-1)) + 1
+
+
+def spaced(text: str) -> bytes:
+    """The text's words, A-Z in lower case, with a space between."""
+    return b" ".join(text.encode().lower().split())
+
+
 def signature(items: np.ndarray) -> np.ndarray:
     """The least of each of the hash functions over the set."""
     out = np.empty(_HASHES, np.uint32)
@@ -94,7 +117,8 @@ def likely(values: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _profile(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [shingles(x or "") for x in batch.column("text").to_pylist()]
+    texts = batch.column("text").to_pylist()
+    sets = [shingles(x or "") for x in texts]
     sigs = [signature(s) if len(s) else None for s in sets]
     bands: list[np.ndarray | None] = []
     for s in sigs:
@@ -108,8 +132,8 @@ def _profile(batch: pa.RecordBatch) -> pa.RecordBatch:
         bands.append((key * _MIX[1]).view(np.int64))
     names = ["_k1", "_k2", "id"]
     return pa.RecordBatch.from_arrays(
-        [batch.column(k) for k in names] + [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-        [*names, "cid", "sig", "bands"],
+        [batch.column(k) for k in names] + [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([len(x or "") for x in texts], pa.int64())],
+        [*names, "cid", "sig", "bands", "chars"],
     )
 
 
@@ -171,16 +195,14 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each cell its members that have a link: how many documents they are linked to in it, and the least member that
-    links lead to."""
+    links lead to. Sets are compared by their shingles' words."""
 
     def rows() -> Iterator[tuple]:
         for _, group in _cells(batches, 4):
             group.sort(key=lambda r: r[4])
-            sets = [np.frombuffer(r[7], np.uint64) for r in group]
+            sets, numbers = exact_sets([r[7] for r in group])
             sizes = np.array([len(s) for s in sets])
-            ends = np.cumsum([0, *sizes])
-            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-            inside = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+            inside = np.zeros(numbers, np.int64)
             links, root = [0] * len(group), list(range(len(group)))
 
             def top(x: int, root: list[int] = root) -> int:
@@ -194,10 +216,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = near[np.minimum(sizes[near], sizes[x]) * LEAST[1] >= np.maximum(sizes[near], sizes[x]) * LEAST[0]]
                 if not len(near):
                     continue
-                own = ids[ends[x] : ends[x + 1]]
-                inside[own] = 1
-                common = np.add.reduceat(inside[np.concatenate([ids[ends[y] : ends[y + 1]] for y in near])], np.cumsum([0, *sizes[near][:-1]]))
-                inside[own] = 0
+                inside[sets[x]] = 1
+                common = np.add.reduceat(inside[np.concatenate([sets[y] for y in near])], np.cumsum([0, *sizes[near][:-1]]))
+                inside[sets[x]] = 0
                 for y in near[LEAST[1] * common >= LEAST[0] * (sizes[near] + sizes[x] - common)].tolist():
                     links[x] += group[y][5]
                     links[y] += row[5]
@@ -221,33 +242,37 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Two stored tables. Rows: _k1, _k2, id, cid of each row (cid: its set of shingles; null without words). Classes: cid, root,
     rep (the least id of the component), links and pick (the row that stands for it) of those that have copies or links.
 
-    Rows with equal sets are one class and are counted, not paired. Classes that share a band are a group; groups with the same
-    members are met once, and larger ones in pairs of blocks. Likely pairs are verified on their sets' hashes, 64 bits each."""
+    Rows with equal sets are one class and are counted, not paired; such sets are told apart by 128 bits. Classes that share a band are
+    a group; groups with the same members are met once, and larger ones in pairs of blocks. Likely pairs are verified on their words."""
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    rows = stored(arrow_pass(docs.select(*row_key(F.col(id_col), text), F.col(id_col).alias("id"), text.alias("text")), _profile, f"_k1 long, _k2 long, id {dict(docs.dtypes)[id_col]}, cid binary, sig binary, bands array<long>"), "profiles")
-    order = F.struct(F.col("id").isNull().alias("n"), "id", *KEY)
-    kinds = stored(rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("pick"), F.first("bands").alias("bands")), "kinds")
-    shared = kinds.select("cid", "size", F.posexplode("bands").alias("band", "key"))
-    groups = shared.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x")).where("n > 1")
-    groups = stored(groups.groupBy("n", "x").agg(F.min(F.struct("band", "key")).alias("g")).select("g.band", "g.key", "n"), "groups")
-    members = sized_join(shared, groups, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = stored(members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "members")
-    wanted = stored(members.select("cid").distinct(), "member-ids")
-    sigs = stored(sized_join(rows.where("cid is not null").select("cid", "sig"), wanted, ["cid"], "left_semi").dropDuplicates(["cid"]), "signatures")
-    cells = members.join(sigs, "cid").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "size", "sig")
-    found = stored(_dealt(cells, _prune, _FOUND), "likely")
-    asked = stored(kinds.join(found.select("cid").distinct(), "cid").select("cid", "pick._k1", "pick._k2"), "asked")
-    texts = sized_join(docs.select(*row_key(F.col(id_col), text), text.alias("text")), asked, KEY).dropDuplicates(["cid"])
-    sets = stored(arrow_pass(texts.select("cid", "text"), lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x or "").tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["cid", "set"]), "cid binary, set binary"), "sets")
-    linked = stored(_dealt(found.join(sets, "cid").select("band", "key", "i", "j", "cid", "size", "near", "set"), _verify, _LINKED), "links")
-    roots = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    sums = linked.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = kinds.select("cid", "size", "pick").join(sums, "cid", "left").where("size > 1 or links is not null").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    known = stored(known, "known")
-    heads = stored(known.groupBy("root").agg(F.min("pick").alias("pick")), "heads")
-    return rows.select(*KEY, "id", "cid"), stored(sized_join(known.drop("pick"), heads, ["root"]).select("cid", "root", "pick", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")), "classes")
+    with scratch(docs.sparkSession) as kept:
+        rows = arrow_pass(docs.select(*row_key(F.col(id_col), text), F.col(id_col).alias("id"), text.alias("text")), _profile, f"_k1 long, _k2 long, id {dict(docs.dtypes)[id_col]}, cid binary, sig binary, bands array<long>, chars long")
+        rows = stored(rows, "profiles")
+        order = F.struct(F.col("id").isNull().alias("n"), "id", *KEY)
+        kinds = stored(rows.where("cid is not null").groupBy("cid").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("pick"), F.first("bands").alias("bands"), F.max("chars").alias("chars")), "kinds")
+        shared = kinds.select("cid", "size", "chars", F.posexplode("bands").alias("band", "key"))
+        groups = shared.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("cid")).alias("x")).where("n > 1")
+        groups = groups.groupBy("n", "x").agg(F.min(F.struct("band", "key")).alias("g"), F.max("chars").alias("chars"))
+        groups = stored(groups.select("g.band", "g.key", F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("chars") / BLOCK_BYTES))).cast("int").alias("blocks")), "groups")
+        members = sized_join(shared.drop("chars"), groups, ["band", "key"])
+        members = stored(members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "members")
+        wanted = stored(members.select("cid").distinct(), "member-ids")
+        sigs = stored(sized_join(rows.where("cid is not null").select("cid", "sig"), wanted, ["cid"], "left_semi").dropDuplicates(["cid"]), "signatures")
+        cells = members.join(sigs, "cid").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = cells.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "size", "sig")
+        found = stored(_dealt(cells, _prune, _FOUND), "likely")
+        asked = stored(kinds.join(found.select("cid").distinct(), "cid").select("cid", "pick._k1", "pick._k2"), "asked")
+        texts = sized_join(docs.select(*row_key(F.col(id_col), text), text.alias("text")), asked, KEY).dropDuplicates(["cid"])
+        words = stored(arrow_pass(texts.select("cid", "text"), lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([spaced(x or "") for x in b.column(1).to_pylist()], pa.binary())], ["cid", "words"]), "cid binary, words binary"), "words")
+        linked = stored(_dealt(found.join(words, "cid").select("band", "key", "i", "j", "cid", "size", "near", "words"), _verify, _LINKED), "links")
+        roots = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+        sums = linked.groupBy("cid").agg(F.sum("links").alias("links"))
+        known = kinds.select("cid", "size", "pick").join(sums, "cid", "left").where("size > 1 or links is not null").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        known = stored(known, "known")
+        heads = stored(known.groupBy("root").agg(F.min("pick").alias("pick")), "heads")
+        out = sized_join(known.drop("pick"), heads, ["root"]).select("cid", "root", "pick", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
+        return kept(rows.select(*KEY, "id", "cid"), "rows"), kept(out, "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,11 +287,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, that of the least id, all columns as they were; rows in no class stay."""
-    rows, found = classes(docs, id_col, text_col)
-    inside = sized_join(rows, found.select("cid", "pick"), ["cid"])
-    flags = inside.groupBy(*KEY).agg(F.max(((F.col("pick._k1") == F.col("_k1")) & (F.col("pick._k2") == F.col("_k2"))).cast("int")).alias("_stays"), F.count(F.lit(1)).alias("n"))
-    flags = stored(flags.where("_stays = 0 or n > 1").select(*KEY, "_stays"), "flags")
-    marked = sized_join(docs.select("*", *row_key(F.col(id_col), F.col(text_col))), flags, KEY, "left")
+    """docs with one row of each class, that of the least id, all columns as they were, whatever their names; rows in no class stay.
+
+    A null text, or one without words, is in no class. Null ids come last where a row is chosen. Of rows that share id and text one stays, and
+    which of them is not defined where their other columns differ. An empty table gives an empty one."""
+    with scratch(docs.sparkSession) as kept:
+        rows, found = classes(docs, id_col, text_col)
+        inside = sized_join(rows, found.select("cid", "pick"), ["cid"])
+        flags = inside.groupBy(*KEY).agg(F.max(((F.col("pick._k1") == F.col("_k1")) & (F.col("pick._k2") == F.col("_k2"))).cast("int")).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+        flags = kept(flags.where("_stays = 0 or _n > 1").select(*KEY, "_stays"), "flags")
+    marked = sized_join(packed(docs, id_col, text_col), flags, KEY, "left")
     again = marked.where("_stays = 1").dropDuplicates(KEY)  # rows repeated in full
-    return marked.where("_stays is null").unionByName(again).drop(*KEY, "_stays")
+    return unpacked(marked.where("_stays is null").unionByName(again))

@@ -13,15 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass
+from .common import Kept, arrow_pass
 from .token_counts import resolve
 
 MARK = "▁"
 #: As the public library has it: a character without a piece costs so much more than the worst piece.
 UNKNOWN_COST = 10.0
-#: Units in one vectorised search, and the longest unit that goes there; results kept by unit, and the longest kept.
+#: Units in one vectorised search, and the longest unit that goes there; bytes of results kept by unit, the longest unit kept, and
+#: characters encoded in one call.
 TOGETHER, LONG = 4_096, 64
-KEPT, KEPT_CHARS = 400_000, 32
+KEPT_BYTES, KEPT_CHARS, CALL_CHARS = 12 << 20, 32, 1 << 19
+#: Texts that a normaliser, or one that tidies white space, would change.
+_AS_THEY_ARE = ("a  b", " a ", "\ufb01 \uff21 e\u0301 \u00bd", "A\tb\nc", "\u3000x")
 _UNITS = re.compile(r" +[^ ]+| +$")
 
 
@@ -88,7 +91,7 @@ class Model:
     byte_ids: list[int]
     unknown: int
     trie: Trie
-    kept: dict[str, bytes] = field(default_factory=dict)
+    kept: Kept = field(default_factory=lambda: Kept(KEPT_BYTES))
 
 
 @lru_cache(maxsize=2)
@@ -112,6 +115,8 @@ def load(name: str) -> Model:
     prefix = sp.encode("a", out_type=str)[0].startswith(MARK)
     if not prefix or any(MARK in texts[i].lstrip(MARK) for i in plain):
         raise ValueError("a file that puts a mark before a text, and whose pieces have marks at their beginnings only, is asked for")
+    if any(sp.normalize(x) != MARK + x.replace(" ", MARK) for x in _AS_THEY_ARE):
+        raise ValueError("a file that changes a text's characters or white space before it looks for pieces is not read")
     return Model(raw, score, [i for _, i in byte_ids], sp.unk_id(), double_array({texts[i].encode(): i for i in plain}))
 
 
@@ -233,17 +238,16 @@ def units(text: str) -> list[str]:
 
 def encode(model: Model, texts: list[str]) -> list[bytes]:
     """Each text's ids, as 32-bit numbers. Units that occur again are looked up."""
-    if len(model.kept) > KEPT:
-        model.kept.clear()
-    split = [units(x) for x in texts]
     kept = model.kept
+    kept.room()
+    split = [units(x) for x in texts]
     new = list(set().union(*split).difference(kept))
     found = dict(zip(new, _search(model, new), strict=True))
     if any(len(x) > KEPT_CHARS for x in new):
-        kept.update((k, v) for k, v in found.items() if len(k) <= KEPT_CHARS)
+        kept.add({k: v for k, v in found.items() if len(k) <= KEPT_CHARS})
         get = lambda x: kept[x] if x in kept else found[x]
     else:
-        kept.update(found)
+        kept.add(found)
         get = kept.__getitem__
     return [b"".join(map(get, x)) for x in split]
 
@@ -271,10 +275,10 @@ def encoded(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_col: st
         ids = _parts(model, texts)
         flat = np.frombuffer(b"".join(ids), np.int32)
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-        fallback = np.concatenate(([0], np.cumsum(is_byte[flat])))
+        fallback = np.concatenate((np.zeros(1, np.int32), np.cumsum(is_byte[flat], dtype=np.int32)))
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(fallback[ends]), pa.int64()),
+                batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(fallback[ends]).astype(np.int64)),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([decode(model, x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
             ], ["id", "ids", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"])
 
@@ -282,7 +286,7 @@ def encoded(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_col: st
     return out.withColumnRenamed("id", id_col)
 
 
-def _parts(model: Model, texts: list[str], chars: int = 1 << 21) -> list[bytes]:
+def _parts(model: Model, texts: list[str], chars: int = CALL_CHARS) -> list[bytes]:
     """encode() of about so many characters at a time."""
     out: list[bytes] = []
     part: list[str] = []

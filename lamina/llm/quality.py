@@ -183,7 +183,9 @@ def verdicts(docs: DataFrame, model: Trees | None, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: Trees | None, text_col: str = "text", **rules: float) -> DataFrame:
-    """docs without the rows that verdicts() rejects, all columns as they were."""
+    """docs without the rows that verdicts() rejects, all columns as they were, whatever their names.
+
+    A null text is as an empty one, and goes; null ids are kept; repeated rows stay or go together; an empty table gives an empty one."""
     least_words, repeat_percent, least_score = rules.get("least_words", 10), rules.get("repeat_percent", 20), rules.get("least_score", 0.3)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -11,15 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass
+from .common import Kept, arrow_pass
 
 #: Bytes of text that one call of the library gets.
 CALL_BYTES = 1 << 18
-#: Counts kept by piece in a worker, and the longest piece whose count is kept.
-KEPT, KEPT_CHARS = 600_000, 48
+#: Bytes of counts kept by piece in a worker, and the longest piece whose count is kept.
+KEPT_BYTES, KEPT_CHARS = 32 << 20, 48
+#: Characters from which a piece is split further.
+LONG_CHARS = 4_096
 #: A space with no white space beside it, or at an end of the text.
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ |\s |  | \s| $")
+#: Where a byte-level file's pattern ends a token in any case: after a letter and before a character that is none. Both sides are a
+#: safe choice of such characters.
+_ENDS = re.compile(r"(?<=[A-Za-z\u0430-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3])(?=[\n,.;:!?()\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def resolve(name: str) -> str:
@@ -31,13 +36,18 @@ def resolve(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def utf8(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class Counter:
     """Counts tokens by the library's batch encoding.
 
     A text is split before a single space between two characters that aren't white space, if the tokenizer
     puts a token's end at every such place: then the counts of the pieces add up to the text's. Equal pieces are encoded
-    once. Calls get pieces of about CALL_BYTES together, so a long text costs no more memory than short ones;
-    a stretch without such a space is encoded whole, whatever its length."""
+    once. Pieces of more than LONG_CHARS characters are split further, for byte-level files, between a letter and a mark of
+    punctuation. Calls get pieces of about CALL_BYTES bytes together, so a long text costs no more memory than short ones;
+    a stretch without either is encoded whole, whatever its length."""
 
     def __init__(self, name: str):
         path = resolve(name)
@@ -54,7 +64,7 @@ class Counter:
                 spec = json.load(f)
             pre = spec.get("pre_tokenizer") or {}
             self.parts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", []))
-            self.space = " "
+            self.space, self.specials = " ", [x["content"] for x in spec.get("added_tokens", [])]
             self.lengths = lambda texts: [len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         elif path.endswith(".model"):
             import sentencepiece
@@ -62,11 +72,11 @@ class Counter:
             self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
             inner = any("▁" in sp.id_to_piece(i).lstrip("▁") for i in range(sp.get_piece_size()))
             self.parts = not inner and all(sp.encode(f"{a} {b}") == sp.encode(a) + sp.encode(b) for a, b in (("a", "b"), ("über", "Σ"), ("1,", "中"), ("x.", "(y")))
-            self.space = ""
+            self.space, self.specials = "", None
             self.lengths = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
         else:
             raise ValueError(f"{path}: a .json or a .model file is asked for")
-        self.kept: dict[str, int] = {}
+        self.kept: dict[str, int] = Kept(KEPT_BYTES)
 
     def split(self, text: str) -> list[str]:
         """Pieces; all but the first follow a space that isn't in them."""
@@ -80,34 +90,42 @@ class Counter:
             head, *tail = self.split(text)
             first.append(head)
             rest.append(tail)
-        if len(self.kept) > KEPT:
-            self.kept.clear()
         kept = self.kept
+        kept.room()
         new = [x for x in set(itertools.chain.from_iterable(rest)).difference(kept)]
         found = dict(zip(new, self._encode([self.space + x for x in new]), strict=True))
         heads = self._encode(first)
         out = []
         if any(len(x) > KEPT_CHARS for x in new):
-            kept.update((k, v) for k, v in found.items() if len(k) <= KEPT_CHARS)
+            kept.add({k: v for k, v in found.items() if len(k) <= KEPT_CHARS})
             get = lambda x: kept[x] if x in kept else found[x]
         else:
-            kept.update(found)
+            kept.add(found)
             get = kept.__getitem__
         for n, tail in zip(heads, rest, strict=True):
             out.append(n + sum(map(get, tail)))
         return out
 
     def _encode(self, pieces: list[str]) -> list[int]:
+        """Each piece's tokens, long ones in parts. No special string is cut: a piece that has one stays whole."""
+        if self.specials is None or not self.parts or not any(len(x) > LONG_CHARS for x in pieces):
+            return self._calls(pieces)
+        parts = [[x] if len(x) <= LONG_CHARS or any(y in x for y in self.specials) else _ENDS.split(x) for x in pieces]
+        counts = iter(self._calls(list(itertools.chain.from_iterable(parts))))
+        return [sum(itertools.islice(counts, len(x))) for x in parts]
+
+    def _calls(self, pieces: list[str]) -> list[int]:
         """Calls balanced by bytes; the order is that of pieces."""
         out: list[int] = []
         call: list[str] = []
         size = 0
         for x in pieces:
-            if call and size + len(x) > CALL_BYTES:
+            own = utf8(x)
+            if call and size + own > CALL_BYTES:
                 out += self.lengths(call)
                 call, size = [], 0
             call.append(x)
-            size += len(x)
+            size += own
         return out + (self.lengths(call) if call else [])
 
 
@@ -126,15 +144,16 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = counter(tokenizer)
         texts = [x or "" for x in batch.column(1).to_pylist()]
+        sizes = list(map(utf8, texts))
         out, part, size = [], [], 0
-        for x in texts:
+        for x, n in zip(texts, sizes, strict=True):
             part.append(x)
-            size += len(x)
+            size += n
             if size > 4 * CALL_BYTES:
                 out += own.count(part)
                 part, size = [], 0
         out += own.count(part) if part else []
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(out, pa.int64())], ["id", "n_bytes", "n_tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     kind = dict(docs.dtypes)[id_col]
     counts = arrow_pass(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_batch, f"id {kind}, n_bytes long, n_tokens long")
