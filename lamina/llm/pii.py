@@ -74,13 +74,19 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def content(word: str) -> str:
-    """What makes tokens similar: the last seven digits of a number of that many, else the letters and digits in lower case if there are six."""
+def contents(word: str) -> list[str]:
+    """What makes tokens similar; any of it in common does. The last seven digits of a number of that many; else the letters and digits in
+    lower case if there are six; of what has an @, also those before it if there are six, and all up to the first dot behind it."""
     digits = "".join(x for x in word if "0" <= x <= "9")
     if len(digits) >= 7 and len(digits) * 2 > len(word):
-        return digits[-7:]
-    plain = "".join(filter(str.isalnum, word)).lower()
-    return plain if len(plain) >= 6 else ""
+        return [digits[-7:]]
+    local, at, host = word.partition("@")
+    out = [f"{local}@{host.split('.')[0]}".lower()] if local and host else []
+    for part in (word, local) if at else (word,):
+        plain = "".join(filter(str.isalnum, part)).lower()
+        if len(plain) >= 6 and plain not in out:
+            out.append(plain)
+    return out
 
 
 _BEFORE = (("mail", "e-mail", "email"), ("ip", "host", "server", "address"), ("card", "visa", "credit"), ("phone", "tel", "call", "fax", "mobile"))
@@ -106,16 +112,18 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 
 def graph(text: str, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges: of neighbours with nothing but space and punctuation between, and of each token with the last before it of the same content.
-    Both are chains, so there are no more edges than tokens of either sort."""
+    """Edges: of neighbours with nothing but space and punctuation between, and of each token with the last before it that has some content
+    in common, for each of its contents. All are chains, so there are no more edges than tokens and their contents."""
     near, far, last = [], [], {}
     for i, (start, end) in enumerate(nodes):
         if i and start - nodes[i - 1][1] <= 3 and not any(map(str.isalnum, text[nodes[i - 1][1] : start])):
             near.append((i - 1, i))
-        if key := content(text[start:end]):
+        before = set()
+        for key in contents(text[start:end]):
             if key in last:
-                far.append((last[key], i))
+                before.add(last[key])
             last[key] = i
+        far += [(j, i) for j in sorted(before)]
     return np.array(near, np.int64).reshape(-1, 2), np.array(far, np.int64).reshape(-1, 2)
 
 
@@ -130,7 +138,7 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     ip = ".".join(str(rng.randint(1, 254)) for _ in range(4))
     forms = {
         1: [f"{name}@{host}", f"{name}@{host}", f"{name}@{host.split('.')[0]}"], 2: [ip, ip, f"{ip}:{digits(4)}"],
-        3: [card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", card], 4: [f"+1 ({line[0]}) {line[1]}-{line[2]}", f"({line[0]}) {line[1]}-{line[2]}", f"{line[0]}-{line[1]}-{line[2]}"],
+        3: [card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", card, f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}"], 4: [f"+1 ({line[0]}) {line[1]}-{line[2]}", f"({line[0]}) {line[1]}-{line[2]}", f"{line[0]}-{line[1]}-{line[2]}"],
     }
     wrong = card[:15] + str((int(card[15]) + rng.randint(1, 9)) % 10)
     other = [lambda: wrong, lambda: str(rng.randint(1900, 2099)), lambda: digits(rng.randint(1, 6)), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: digits(rng.randint(7, 14)), lambda: f"{word()}{digits(2)}", lambda: f"{digits(3)}-{digits(4)}", lambda: f"{word()}@{digits(1)}", lambda: ".".join(str(rng.randint(200, 999)) for _ in range(4))]
@@ -267,7 +275,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """id, the numbers of base spans by kind, base and spans: kind:start:end (code points, end exclusive) by kind and start,
-    joined by commas.
+    joined by commas; n_spans: how many spans there are, added ones included.
 
     A null text is empty: no spans. Null ids are kept; repeated rows give a row each, an empty table none. Texts of any
     length are read whole. Other columns are left out."""
@@ -276,10 +284,10 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [find(x or "", model, least) for x in batch.column(1).to_pylist()]
         counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in range(1, LABELS)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([written(b) for b, _ in rows], pa.string()), pa.array([written(a) for _, a in rows], pa.string())], names)
+        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([written(b) for b, _ in rows], pa.string()), pa.array([written(a) for _, a in rows], pa.string()), pa.array([len(a) for _, a in rows], pa.int64())], names)
 
-    names = ["id", *(f"n_{k}" for k in KINDS), "base", "spans"]
-    out = arrow_pass(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_batch, f"id {dict(docs.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    names = ["id", *(f"n_{k}" for k in KINDS), "base", "spans", "n_spans"]
+    out = arrow_pass(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_batch, f"id {dict(docs.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -294,7 +302,9 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", least: float = LEAST) -> DataFrame:
-    """docs with every span of their texts redacted, and chars_col (if any) as the new length. Null texts stay null; other columns stay as they were."""
+    """docs with every span of their texts redacted, and chars_col (if any) as the new length.
+
+    Null texts stay null, and texts without spans as they are; other columns, null ids and repeated rows stay too; an empty table gives an empty one."""
     model = weights()
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -21,12 +21,13 @@ def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write(pages), pages, nulls=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.annotate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
