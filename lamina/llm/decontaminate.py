@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, ascii_lower, row_key, sized_join, stored
+from .common import KEY, ascii_lower, packed, row_key, scratch, sized_join, stored, unpacked
 
 WINDOW = 10
 #: Rarest terms of a window whose postings are intersected; the other words are compared where these agree.
@@ -28,35 +28,41 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """terms (term, tid) of the test set; postings (_k1, _k2, tid, pos) of these terms in the training texts, in order of term
-    within each file, so that a reader of few terms skips the rest; windows (wid, n, words, items) of the test set."""
+    """postings (_k1, _k2, tid, pos) of every word of the training texts, in order of term within each file, so that a reader of few
+    terms skips the rest by the files' statistics; windows (wid, n, words, items) of the test set. tid: a number of the term."""
 
-    terms: DataFrame
     postings: DataFrame
     windows: DataFrame
 
 
-def build(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> Index:
-    """Terms are words in lower case as Spark has it, a little wider than A-Z: the comparison of words is what decides.
+def term(word: Column) -> Column:
+    """A term's number. Terms are words in lower case as Spark has it, a little wider than A-Z: the comparison of words is what decides."""
+    return F.xxhash64(F.lower(word))
+
 
-    A window is `width` consecutive words of an item, or all words of a shorter one; items without words have none."""
+def build(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW) -> Index:
+    """A window is `width` consecutive words of an item, or all words of a shorter one; items without words have none. Both tables are stored."""
     tokens = items.select(F.col(item_col).alias("item"), words(ascii_lower(F.col(item_text))).alias("ws")).where(F.size("ws") > 0)
     n = F.least(F.size("ws"), F.lit(width))
     each = tokens.select("item", n.alias("n"), "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws") - width + 1, F.lit(1)))).alias("at")).select("item", "n", F.slice("ws", F.col("at"), F.col("n")).alias("words"))
     windows = stored(each.groupBy("words", "n").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("wid"), "n", "words", "items"), "windows")
-    terms = stored(windows.select(F.explode("words").alias("w")).select(F.lower("w").alias("term")).distinct().select("term", F.xxhash64("term").alias("tid")), "terms")
     text = F.col(text_col)
-    tokens = docs.select(*row_key(F.col(id_col), text), F.posexplode(words(text)).alias("pos", "w")).select(*KEY, "pos", F.lower("w").alias("term"))
-    postings = sized_join(tokens, terms, ["term"]).select(*KEY, "tid", "pos")
-    return Index(terms, stored(postings.sortWithinPartitions("tid", *KEY, "pos"), "postings"), windows)
+    each = docs.select(*row_key(F.col(id_col), text), words(text).alias("_ws"))  # keys before words: once a text, not once a word
+    postings = each.select(*KEY, F.posexplode("_ws").alias("pos", "w")).select(*KEY, term(F.col("w")).alias("tid"), "pos")
+    return Index(stored(postings.sortWithinPartitions("tid", *KEY, "pos"), "postings"), windows)
+
+
+def frequencies(index: Index) -> DataFrame:
+    """tid, df: postings of the test set's terms that the training text has."""
+    asked = stored(index.windows.select(F.explode("words").alias("w")).select(term(F.col("w")).alias("tid")).distinct(), "terms")
+    return stored(sized_join(index.postings.select("tid"), asked, ["tid"], "left_semi").groupBy("tid").agg(F.count(F.lit(1)).alias("df")), "frequencies")
 
 
 def anchors(index: Index, rarest: int) -> DataFrame:
     """wid, n, tid, off, rank: each window's rarest terms by the number of postings, with their places in it. Windows with a term
     that the training text lacks have none."""
-    counts = index.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
-    places = index.windows.select("wid", "n", F.posexplode("words").alias("off", "w")).withColumn("term", F.lower("w"))
-    known = places.join(index.terms, "term").join(counts, "tid", "left")
+    places = index.windows.select("wid", "n", F.posexplode("words").alias("off", "w")).withColumn("tid", term(F.col("w")))
+    known = places.join(frequencies(index), "tid", "left")
     ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("df", "tid", "off"))).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(Window.partitionBy("wid")))
     return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).select("wid", "n", "tid", "off", "rank", F.least("n", F.lit(rarest)).alias("need"))
 
@@ -84,10 +90,9 @@ def proximity_matches(index: Index, slop: int, rarest: int = 3, width: int = WIN
 
     The rarest are taken among the terms that the training text has, so that words it lacks don't hide a near copy; a window
     with fewer such terms than are asked for has no matches."""
-    counts = index.postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
     each = Window.partitionBy("wid")
-    places = index.windows.select("wid", F.explode("words").alias("w")).select("wid", F.lower("w").alias("term")).distinct().withColumn("need", F.least(F.count(F.lit(1)).over(each), F.lit(rarest)))
-    known = places.join(index.terms, "term").join(counts, "tid").withColumn("rank", F.row_number().over(each.orderBy("df", "tid"))).withColumn("some", F.count(F.lit(1)).over(each))
+    places = index.windows.select("wid", F.explode("words").alias("w")).select("wid", term(F.col("w")).alias("tid")).distinct().withColumn("need", F.least(F.count(F.lit(1)).over(each), F.lit(rarest)))
+    known = places.join(frequencies(index), "tid").withColumn("rank", F.row_number().over(each.orderBy("df", "tid"))).withColumn("some", F.count(F.lit(1)).over(each))
     chosen = known.where((F.col("rank") <= rarest) & (F.col("some") >= F.col("need"))).select("wid", "tid", "need")
     near = Window.partitionBy(*KEY, "wid").orderBy("pos").rangeBetween(0, width + slop - 1)
     rows = sized_join(index.postings, stored(chosen, "near-anchors"), ["tid"]).select(*KEY, "wid", "tid", "pos", "need").distinct()
@@ -95,11 +100,15 @@ def proximity_matches(index: Index, slop: int, rarest: int = 3, width: int = WIN
 
 
 def near_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = SLOP) -> DataFrame:
-    """id, n_near (proximity matches: windows and places) and items (ids of their items, as strings, sorted) of each row."""
-    index = build(docs, items, id_col, text_col, item_col, item_text)
-    found = sized_join(proximity_matches(index, slop), index.windows.select("wid", "items"), ["wid"], rows=index.windows.count())
-    ids = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string"))))
-    results = stored(found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), ids.alias("_items")), "near-hits")
+    """id, n_near (proximity matches: windows and places) and items (ids of their items, as strings, sorted) of each row.
+
+    A null text has no words and no matches; null or empty items none either, and a null item id is left out of items. Null ids are
+    kept; repeated rows give a row each with the same matches; an empty table gives no rows. Other columns are left out."""
+    with scratch(docs.sparkSession) as kept:
+        index = build(docs, items, id_col, text_col, item_col, item_text)
+        found = sized_join(proximity_matches(index, slop), index.windows.select("wid", "items"), ["wid"])
+        ids = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string"))))
+        results = kept(found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), ids.alias("_items")), "near-hits")
     rows = sized_join(docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col))), results, KEY, "left")
     return rows.select(F.col("_id").alias(id_col), F.coalesce("_n", F.lit(0)).alias("n_near"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
@@ -109,22 +118,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A null text has no words; null or empty items none either. Null ids are kept; a null item id is left out of items.
     Repeated rows give a row each; empty tables give no rows, or no hits. Other columns are left out."""
-    index = build(docs, items, id_col, text_col, item_col, item_text, width)
-    found = phrase_matches(docs, index, id_col, text_col)
     zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("m"))
     ordered = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("s"), (x["start"] + x["n"]).alias("e"))))
     hit = F.aggregate(ordered, zero, lambda a, x: F.struct((a["c"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["m"]))).alias("c"), F.greatest(a["m"], x["e"]).alias("m")), lambda a: a["c"])
     ids = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))), lambda x: x.cast("string")))
-    results = stored(found.select(*KEY, hit.cast("long").alias("_hit"), ids.alias("_items")), "hits")
+    with scratch(docs.sparkSession) as kept:
+        found = phrase_matches(docs, build(docs, items, id_col, text_col, item_col, item_text, width), id_col, text_col)
+        results = kept(found.select(*KEY, hit.cast("long").alias("_hit"), ids.alias("_items")), "hits")
     text = F.col(text_col)
     rows = sized_join(docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), text), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("_n")), results, KEY, "left")
     return rows.select(F.col("_id").alias(id_col), F.col("_n").alias("n_words"), F.coalesce("_hit", F.lit(0)).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of an item; all columns as they were."""
-    index = build(docs, items, id_col, text_col, item_col, item_text)
-    hit = stored(phrase_matches(docs, index, id_col, text_col).select(*KEY), "hit-keys")
-    keyed = docs.select("*", *row_key(F.col(id_col), F.col(text_col)))
-    marked = sized_join(keyed, hit.withColumn("_hit", F.lit(True)), KEY, "left")
-    return marked.where(F.col("_hit").isNull()).drop(*KEY, "_hit")
+    """docs without the rows that hold a window of an item; all columns as they were, whatever their names.
+
+    A null text holds none, and stays; so does every row where items are empty, null or without words. Null ids are kept; rows that share id
+    and text stay or go together; an empty table gives an empty one."""
+    with scratch(docs.sparkSession) as kept:
+        found = phrase_matches(docs, build(docs, items, id_col, text_col, item_col, item_text), id_col, text_col)
+        hit = kept(found.select(*KEY), "hit-keys")
+    marked = sized_join(packed(docs, id_col, text_col), hit.withColumn("_hit", F.lit(True)), KEY, "left")
+    return unpacked(marked.where(F.col("_hit").isNull()))
