@@ -1,4 +1,7 @@
-"""WARC archives with a two-level index of captures: sorted keys in compressed blocks, and a sparse directory of the blocks."""
+"""WARC archives with a two-level index of captures: sorted keys in compressed blocks, and a sparse directory of the blocks.
+
+An index file is blocks of lines in order of key and, at its end, the directory of its blocks. The table of the files says which
+keys each has; it is all that a reader holds."""
 
 from __future__ import annotations
 
@@ -9,16 +12,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, sized_join, small_batches, stored
+from .common import scratch, shared_folder, sized_join, small_batches, stored
 
-#: Lines of a block of the index, and blocks that a directory may have to be held in memory.
-BLOCK_LINES, DIRECTORY_ROWS = 1_000, 500_000
+#: Lines of a block of the index, and blocks of an index file, whose directory is held in memory.
+BLOCK_LINES, DIRECTORY_ROWS = 1_000, 10_000
 #: Payloads of fewer bytes are never stored as revisits.
 LEAST_REVISIT = 100
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,10 +83,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
 
 @dataclass
 class Archive:
-    """The captures' index (one row a record) and the directory of its sorted blocks; both are stored tables."""
+    """files: a stored table with a row for each index file: its first and last key, where its directory is, and its number of blocks. There
+    are as many files as tasks wrote them, and one more for every DIRECTORY_ROWS blocks."""
 
-    captures: DataFrame
-    directory: DataFrame
+    files: DataFrame
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT, date: str = "2000-01-01T00:00:00Z") -> Archive:
@@ -96,8 +100,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     small_batches(spark)
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    copies = stored(rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "copies")
-    marked = sized_join(rows, copies, ["digest"], "left")
+    copies = (rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = file_system(folder)
@@ -121,37 +124,56 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
             if out is not None:
                 out.close()
 
-    captures = stored(marked.mapInArrow(put, "key string, page long, place long, size long, file string"), "captures")
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = file_system(folder)
-        out, at, name, held = None, 0, f"{uuid.uuid4().hex}.index", []
+        out, at, name, held, directory = None, 0, "", [], []
 
-        def flush() -> pa.RecordBatch:
-            nonlocal out, at
+        def put_block() -> None:
+            nonlocal out, at, name
             if out is None:
+                name, at = f"{uuid.uuid4().hex}.index", 0
                 out = system.open_output_stream(f"{top}/{name}", compression=None)
-            raw = zlib.compress("".join(json.dumps(x) + "\n" for x in held).encode())
+            raw = packed_lines(held)
             out.write(raw)
-            row = [held[0][0], held[-1][0], f"{folder}/{name}", at, len(raw), len(held)]
+            directory.append((held[0][0], held[-1][0], at, len(raw)))
             at += len(raw)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["first", "last", "file", "place", "size", "lines"])
+
+        def end_file() -> pa.RecordBatch:
+            nonlocal out
+            raw = packed_lines(directory)
+            out.write(raw)
+            out.close()
+            row = [directory[0][0], directory[-1][1], f"{folder}/{name}", at, len(raw), len(directory)]
+            out = None
+            directory.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["first", "last", "file", "place", "size", "blocks"])
 
         try:
             for batch in batches:
                 for key, page, place, size, file in zip(*(batch.column(k).to_pylist() for k in ("key", "page", "place", "size", "file")), strict=True):
                     held.append((key, page, file, place, size))
                     if len(held) == BLOCK_LINES:
-                        yield flush()
+                        put_block()
+                        if len(directory) == DIRECTORY_ROWS:
+                            yield end_file()
             if held:
-                yield flush()
+                put_block()
+            if directory:
+                yield end_file()
         finally:
             if out is not None:
                 out.close()
 
-    ordered = captures.repartitionByRange("key", "page", "file", "place").sortWithinPartitions("key", "page", "file", "place")
-    return Archive(captures, stored(ordered.mapInArrow(blocks, "first string, last string, file string, place long, size long, lines long"), "directory"))
+    with scratch(spark) as kept:
+        marked = sized_join(rows, stored(copies, "copies"), ["digest"], "left")
+        captures = stored(marked.mapInArrow(put, "key string, page long, place long, size long, file string"), "captures")
+        ordered = captures.repartitionByRange("key", "page", "file", "place").sortWithinPartitions("key", "page", "file", "place")
+        return Archive(kept(ordered.mapInArrow(index, "first string, last string, file string, place long, size long, blocks long"), "files"))
+
+
+def packed_lines(rows: list) -> bytes:
+    return zlib.compress("".join(json.dumps(x) + "\n" for x in rows).encode())
 
 
 class Reader:
@@ -193,78 +215,104 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def read(archive: Archive) -> DataFrame:
-    """Every record, by the blocks of the index and ranges of the archives; each response's payload is held to its digest."""
+_BLOCK = "file string, place long, size long"
+
+
+def _records(blocks: DataFrame, asked: bool) -> DataFrame:
+    """The records of blocks (_BLOCK), each by a range of its archive; with asked, those whose key and target are asked for (key, target
+    of each row; a block's rows stand together). A block is read once and a record once."""
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
+        names = ["file", "place", "size", *(["key", "target"] if asked else [])]
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in names), strict=True))
         try:
-            for batch in batches:
-                for file, place, size in zip(*(batch.column(k).to_pylist() for k in ("file", "place", "size")), strict=True):
-                    found = sorted(reader.lines(file, place, size), key=lambda x: x[2:4])
-                    yield _batch([_row(own, n) for own, _, n in (reader.record(*x[2:]) for x in found)])
+            for block, group in groupby(rows, key=lambda r: r[:3]):
+                lines = reader.lines(*block)
+                wanted: dict[str, set] = {}
+                if asked:
+                    for r in group:
+                        wanted.setdefault(r[3], set()).add(r[4])
+                    keys = [x[0] for x in lines]
+                    lines = [x for key in wanted for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+                out = []
+                for key, _, *place in sorted(lines, key=lambda x: x[2:4]):
+                    own, _, n = reader.record(*place)
+                    if not asked or own.get("WARC-Target-URI") in wanted[key]:
+                        out.append(_row(own, n))
+                if out:
+                    yield _batch(out)
         finally:
             reader.close()
 
-    spark = archive.directory.sparkSession
-    spread = max(1, min(archive.directory.count(), 4 * spark.sparkContext.defaultParallelism, 100_000))
-    return archive.directory.repartition(spread).mapInArrow(get, _READ)
+    return blocks.mapInArrow(get, _READ)
 
 
-def lookup(archive: Archive, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """The captures of each url asked for, in a row each: the key is searched for in the directory, then in its block.
-
-    The directory is sent to the executors up to DIRECTORY_ROWS rows; a larger one is not, and the keys are joined to the
-    captures instead. Null urls ask for nothing; a url asked for twice is answered once."""
-    spark = urls.sparkSession
-    small_batches(spark)
-    asked = urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).distinct()
-    whole = archive.directory.orderBy("first", "last").limit(DIRECTORY_ROWS + 1)
-    known = [tuple(x) for x in whole.select("first", "last", "file", "place", "size").collect()]
-
-    if len(known) > DIRECTORY_ROWS:
-        return _joined(archive, asked)
-    lasts = [x[1] for x in known]
+def read(archive: Archive) -> DataFrame:
+    """Every record, by the blocks of the index and ranges of the archives; each response's payload is held to its digest."""
 
-    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         try:
             for batch in batches:
-                rows = []
-                for url in batch.column("url").to_pylist():
-                    key = url_key(url)
-                    for first, _, *block in known[bisect.bisect_left(lasts, key) :]:
-                        if first > key:
-                            break
-                        lines = reader.lines(*block)
-                        keys = [x[0] for x in lines]
-                        for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                            own, _, n = reader.record(*x[2:])
-                            if own.get("WARC-Target-URI") == target(url):
-                                rows.append(_row(own, n))
-                if rows:
-                    yield _batch(rows)
+                for file, *place in zip(*(batch.column(k).to_pylist() for k in ("file", "place", "size")), strict=True):
+                    own = reader.lines(file, *place)
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(own)), *(pa.array([x[k] for x in own], pa.int64()) for k in (2, 3))], ["file", "place", "size"])
         finally:
             reader.close()
 
-    return asked.mapInArrow(get, _READ)
+    return _records(archive.files.mapInArrow(blocks, _BLOCK).repartition(_spread(archive)), False)
+
 
+def _spread(archive: Archive) -> int:
+    """Tasks for the records: a block each, up to some for each core or as many as shuffles have. Their bytes are in the archives, not in
+    the shuffle, by whose size Spark would put all into a few."""
+    spark = archive.files.sparkSession
+    blocks = archive.files.agg(F.sum("blocks")).first()[0] or 0
+    return max(1, min(blocks, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
-def _joined(archive: Archive, asked: DataFrame) -> DataFrame:
-    """lookup() without the directory: the captures that have the keys asked for, read one by one."""
+
+def lookup(archive: Archive, urls: DataFrame, url_col: str = "url", nulls: bool = False) -> DataFrame:
+    """The captures of each url asked for, in a row each. A url's key is searched for among the files, then in the directory of each
+    file that may have it, then in the blocks that the directory names; records are read by their ranges.
+
+    A url asked for twice is answered once. A null url asks for nothing or, with nulls, for the captures without one. Urls come in order
+    of their keys, so that a task needs few directories, one after another; what they ask for is dealt by blocks, however
+    many captures one url has. The driver and each task hold the list of the index files, 300 bytes or so each."""
+    spark = urls.sparkSession
+    small_batches(spark)
+    asked = urls.select(F.col(url_col).alias("url")).distinct()
+    asked = asked if nulls else asked.where(F.col("url").isNotNull())
+    known = sorted(tuple(x) for x in archive.files.select("first", "last", "file", "place", "size").collect())  # one for each task that wrote, and each DIRECTORY_ROWS blocks
+    lasts = [x[1] for x in known]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([url_key(x) for x in batch.column(0).to_pylist()], pa.string())], ["url", "key"])
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in own], pa.string()), pa.array([None if x is None else target(x) for x in own], pa.string())], ["key", "target"])
 
-    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
+        held: tuple[int, list, list[str]] = (-1, [], [])
         try:
             for batch in batches:
-                found = [(url, *reader.record(*x)) for url, *x in zip(*(batch.column(k).to_pylist() for k in ("url", "file", "place", "size")), strict=True)]
-                if rows := [_row(own, n) for url, own, _, n in found if own.get("WARC-Target-URI") == target(url)]:
-                    yield _batch(rows)
+                rows = []
+                for key, uri in zip(*(batch.column(k).to_pylist() for k in ("key", "target")), strict=True):
+                    at = bisect.bisect_left(lasts, key)
+                    while at < len(known) and known[at][0] <= key:
+                        if held[0] != at:
+                            directory = reader.lines(*known[at][2:])
+                            held = (at, directory, [x[1] for x in directory])
+                        for first, _, *place in held[1][bisect.bisect_left(held[2], key) :]:
+                            if first > key:
+                                break
+                            rows.append((known[at][2], *place, key, uri))
+                        at += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "place", "size", "key", "target"])
         finally:
             reader.close()
 
-    return asked.mapInArrow(keys, "url string, key string").join(archive.captures, "key").select("url", "file", "place", "size").mapInArrow(get, _READ)
+    ordered = asked.mapInArrow(keys, "key string, target string").repartitionByRange("key", "target").sortWithinPartitions("key")
+    places = ordered.mapInArrow(search, f"{_BLOCK}, key string, target string")
+    return _records(places.repartition(_spread(archive), "file", "place").sortWithinPartitions("file", "place"), True)
