@@ -60,19 +60,20 @@ def spans(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _text (a number of the text) and an array of spans for each of KINDS and of identifier. Weak secrets are looked for in
-    texts with an identifier, endpoints in texts with an identifier or a base secret: elsewhere nothing complements them."""
+    texts with an identifier, or with a base secret and an address; endpoints in texts with an identifier or a base secret: elsewhere
+    nothing complements them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(_SPAN)
     some = lambda test, found: F.when(test, found).otherwise(none).cast(_SPAN)
     assign, access, hexes = text.rlike(_KEY + r"""["']?\x20*[:=]"""), F.contains(text, F.lit("AKIA")), text.rlike("[0-9a-f]{32}")
-    named = access | text.rlike(IDENTIFIER)
+    named, address = access | text.rlike(IDENTIFIER), F.contains(text, F.lit("://"))
     return docs.select(
         F.col(id_col).alias("_id"), text_id(text).alias("_text"),
         some(assign, spans(text, ASSIGN, 8, 1)).alias("assign"),
         some(access, spans(text, ACCESS, 16)).alias("access"),
         some(hexes, spans(text, HEX, 32)).alias("hex"),
-        some(named, spans(text, WEAK)).alias("weak_secret"),
-        some(F.contains(text, F.lit("://")) & (named | assign | hexes), spans(text, ENDPOINT)).alias("endpoint"),
+        some(named | (address & (assign | hexes)), spans(text, WEAK)).alias("weak_secret"),
+        some(address & (named | assign | hexes), spans(text, ENDPOINT)).alias("endpoint"),
         some(named, spans(text, IDENTIFIER)).alias("identifier"),
     )
 
@@ -89,16 +90,19 @@ def _within(parts: DataFrame, scopes: DataFrame, reach: int) -> DataFrame:
 
 
 def link(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """_id, _text, kind, s, e of the weak candidates that count, once each: a weak secret within reach of an identifier, and an
-    endpoint within reach of a secret, weak ones of this kind included. A weak candidate that overlaps a base span adds nothing."""
+    """_id, _text, kind, s, e of the weak candidates that count, once each: a weak secret within reach of an identifier, or of an endpoint
+    that is within reach of a base secret; and an endpoint within reach of a secret, weak ones of the first sort included. A weak
+    candidate that overlaps a base span adds nothing."""
     named = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     rows = found.where((F.size("weak_secret") > 0) | (F.size("endpoint") > 0)).select("_id", "_text", F.explode(F.concat(*map(named, (*KINDS, "identifier")))).alias("x")).select("_id", "_text", "x.*").distinct()
     of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
-    weak = _within(of("weak_secret"), of("access", "identifier"), reach)
-    covered = _within(weak, of("assign", "access", "hex", "identifier"), 0)  # such a one is reported as what it is, or names no secret
-    weak = weak.join(covered, [weak[c].eqNullSafe(covered[c]) for c in weak.columns], "left_anti")
-    ends = _within(of("endpoint"), of("assign", "hex").unionByName(weak), reach)
-    return weak.unionByName(ends)
+    covered = _within(of("weak_secret"), of("assign", "access", "hex", "identifier"), 0)  # such a one is reported as what it is, or names no secret
+    covered = covered.select(*(F.col(c).alias(f"_c{c}") for c in covered.columns))
+    free = of("weak_secret").join(covered, [F.col(c).eqNullSafe(F.col(f"_c{c}")) for c in rows.columns], "left_anti")
+    weak = _within(free, of("access", "identifier"), reach)
+    known = _within(of("endpoint"), of("assign", "hex"), reach)
+    ends = known.unionByName(_within(of("endpoint"), weak, reach))
+    return weak.unionByName(_within(free, known, reach)).unionByName(ends).distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
