@@ -129,6 +129,15 @@ def sized_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "in
     return large.join(small.hint("merge"), on, how)
 
 
+def parted_join(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to other, which has a row a key, where both grow with the input: by a shuffle of both, but for the rows of the keys in
+    `hot` (a stored table of the column key alone), which stay where they are and get other's rows by a sized_join(). how: inner or left_semi."""
+    flagged = sized_join(rows, hot.withColumn("_hot", F.lit(True)), [key], "left")
+    few = stored(sized_join(other, hot, [key], "left_semi"), "of-hot-keys")
+    there = sized_join(flagged.where("_hot").drop("_hot"), few, [key], how)
+    return there.unionByName(flagged.where("_hot is null").drop("_hot").join(other.hint("merge"), [key], how))
+
+
 def arrow_pass(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """per_batch over df's Arrow batches; schema: of what it returns."""
     small_batches(df.sparkSession)
