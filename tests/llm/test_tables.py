@@ -237,3 +237,67 @@ def test_warc(spark, pages, monkeypatch):
     monkeypatch.setattr(warc, "DIRECTORY_ROWS", 1)
     assert rows_of(warc.lookup(archive, asked), "page_id", "url") == want
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+
+
+def test_columns_of_the_operators_own_names(spark, docs):
+    """Tables whose columns are named as an operator might name its own."""
+    odd = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("_k1", "_k2", "_hit", "_stays", "_row", "rank", "a.b"))))
+    kept = jaccard_join.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == jaccard_join.one_of_each(docs).count()
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    clean = decontaminate.drop_hits(odd, items)
+    assert clean.columns == odd.columns and clean.count() == len(TEXTS) - 2
+    assert {r["_hit"] for r in clean.collect()} == {2}
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages on rows with nulls, empty texts, repeats and clashing columns, against the same steps a row at a time."""
+    import corpus_pipeline
+
+    own = random.Random(5)
+    say = lambda n: " ".join(own.choice(WORDS) for _ in range(n))
+    base, passage = say(120), say(12)
+    phone = "+1 (886) 555-7964"
+    texts = [(1, base), (2, base), (3, base.replace(" ", "  ", 1)), (4, say(80)), (5, f"{say(30)} {passage} {say(30)}"), (6, f"{say(40)} {phone} {say(10)}"), (7, "short"), (8, ""), (9, None), (None, say(60)), (10, say(90)), (10, say(70)), (11, "spam spam spam " * 30)]
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, _k1 int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = pieces.load("piece_bpe_32k.model")
+    want = [(i, t.replace(phone, "<PHONE>")) for i, t in texts if t and len(t.split()) >= 10 and "spam" not in t and passage not in t and i not in (2, 3)]
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, tuple(r.ids)) for r in rows) == sorted((i or -1, tuple(memoryview(pieces.encode(model, [t])[0]).cast("i"))) for i, t in want)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0), str(tmp_path)).count() == 0
+
+
+def test_captures_without_a_url(spark, pages):
+    archive = warc.write(pages)
+    got = warc.lookup(archive, pages, nulls=True)
+    assert rows_of(got, "page_id", "payload_bytes") == rows_of(warc.read(archive), "page_id", "payload_bytes")
+    assert got.where("url is null").count() == 1
+
+
+def test_weak_secrets_through_an_endpoint(spark):
+    weak, end = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "https://db.example.com/x"
+    texts = [f"password = hunter2hunter2 at {end} user {weak}", f"password = hunter2hunter2 user {weak}", f"password = hunter2hunter2 at {end}" + " ." * 200 + weak]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: [x.kind for x in r.all_spans] for r in rows.collect()}
+    assert got == {0: ["assign", "endpoint", "weak_secret"], 1: ["assign"], 2: ["assign", "endpoint"]}
+
+
+def test_groups_of_any_size_are_parted(spark):
+    """One passage among many different surroundings: more of them than one task is to have."""
+    gen = random.Random(9)
+    passage = gen.randbytes(300).hex()  # 600 bytes
+    rows = [(k, gen.randbytes(150).hex() + passage[k % 7 :] + gen.randbytes(150).hex()) for k in range(60)]
+    rows += [(100, gen.randbytes(400).hex())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, parted = (sorted(map(tuple, suffix_dedup.dedup(frame, split=k).drop("kept").collect())) for k in (1_000, 5))
+    assert whole == parted and all(r[2] >= 594 for r in whole[:60]) and whole[60][2] == 0
+
+
+def test_small_sides_are_counted_in_bytes(spark):
+    from lamina.llm import common
+
+    wide = spark.range(100).select("id", F.array_repeat(F.lit(1), 50_000).alias("xs"))
+    assert not common.is_small(wide) and common.is_small(wide.select("id")) and common.is_small(wide.limit(0))
