@@ -80,22 +80,12 @@ def split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fixed(_streams(spark, sf_dir), PIECE).select("stream_id", "seq", "pos", "len", S.sha256_hex(F.col("data")).alias("digest"))
 
 
-_FILLED = "encode(CASE WHEN doc_id % 3 = 0 THEN repeat(substr('abc', CAST(doc_id % 2 + 1 AS INTEGER), 1), CAST(doc_id % 40 AS INTEGER)) ELSE substr(coalesce(text, ''), 1, 40) END)"
-
-
-@query(f"SELECT doc_id, CASE WHEN octet_length(b) > 0 AND hex(b) = repeat(substr(hex(b), 1, 2), CAST(octet_length(b) AS BIGINT)) THEN ascii(decode(array_slice(b, 1, 1))) END AS fill FROM (SELECT doc_id, {_FILLED} AS b FROM documents)")
-def fill_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    made = F.when(F.col("doc_id") % 3 == 0, F.expr("repeat(substr('abc', cast(doc_id % 2 + 1 as int), 1), cast(doc_id % 40 as int))")).otherwise(F.substring(F.coalesce("text", F.lit("")), 1, 40))
-    return docs.select("doc_id", S.fill_byte(F.encode(made, "UTF-8")).alias("fill"))
-
-
 _BYTE = "CAST('0x' || substr(hex({0}), 1, 2) AS INTEGER)"
 
 
 @query(f"SELECT doc_id, CASE WHEN octet_length(b) > 0 AND hex(b) = repeat(substr(hex(b), 1, 2), CAST(octet_length(b) AS BIGINT)) THEN {_BYTE.format('b')} END AS fill FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)")
 def fill_detect_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's whole text, whatever its id and length; fill_detect looks at 40 characters at most."""
+    """Every document's whole text."""
     return _streams(spark, sf_dir).select(F.col("stream_id").alias("doc_id"), S.fill_byte(F.col("data")).alias("fill"))
 
 

@@ -4,7 +4,7 @@ Instructions are (name, operands). The first byte has a tag in its high and a nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from .scalars import as_signed, sign_extend
@@ -129,11 +129,11 @@ def _sized(kind: str, n: int) -> Instruction:
     raise RecipeError(f"a length of {n}")
 
 
-def instructions(entries: list[Entry], lengths: list[int] | None = None) -> Iterator[Instruction]:
-    """What makes a machine emit the entries. lengths: of each entry in bytes; with them the position is noted after every
-    POS_PERIOD entries."""
+def instructions(entries: Iterable[Entry], lengths: Iterable[int] | None = None) -> Iterator[Instruction]:
+    """What makes a machine emit the entries, which are taken one after another. lengths: of each entry in bytes; with them the position is
+    noted after every POS_PERIOD entries."""
     m = Machine()
-    done = 0
+    done, sizes = 0, None if lengths is None else iter(lengths)
 
     def run(*instruction: int | str) -> Instruction:
         m.run(instruction)
@@ -157,8 +157,8 @@ def instructions(entries: list[Entry], lengths: list[int] | None = None) -> Iter
             yield run(f"emit{4 if count < 1 << 4 else 12 if count < 1 << 12 else 20}", count)
         else:
             raise RecipeError(f"an entry of kind {kind}")
-        if lengths:
-            done += lengths[k]
+        if sizes:
+            done += next(sizes)
             if (k + 1) % POS_PERIOD == 0:
                 yield ("pos32", done) if done < 0xFFFFFFFF else ("pos64", done)
 
@@ -192,7 +192,7 @@ def _reach(m: Machine, run, slab: int, offset: int) -> Iterator[Instruction]:
             raise RecipeError(f"an offset of {offset}")
 
 
-def encode(entries: list[Entry], lengths: list[int] | None = None) -> bytes:
+def encode(entries: Iterable[Entry], lengths: Iterable[int] | None = None) -> bytes:
     return b"".join(map(to_bytes, instructions(entries, lengths)))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -122,45 +124,51 @@ def _entry(kind: str, fill: int, slab: int, offset: int, count: int, size: int,
     return {"fill": ("fill", fill, size), "unmapped": ("unmapped", size), "data": ("data", slab, offset, count), "partial": ("partial", begin, end, slab, offset, count)}[kind]
 
 
-def _by_stream(recipes: DataFrame) -> DataFrame:
-    """A row for each stream with its entries in order: a recipe is what one stream needs, and encoded as a whole."""
-    own = [F.col(c) if c in recipes.columns else F.lit(None).cast("long").alias(c) for c in _ENTRY]
-    return recipes.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", *own))).alias("entries"))
-
-
 #: Blocks that one instruction can emit.
 LONGEST_RUN = (1 << 20) - 1
 
 
-def short_runs(entries: list[tuple], lengths: list[int]) -> tuple[list[tuple], list[int]]:
-    """The entries and their lengths, with runs of data that no instruction could emit as several. The last of these has the run's bytes:
+def short_runs(entries: Iterable[tuple], lengths: Iterable[int]) -> Iterator[tuple[tuple, int]]:
+    """Each entry and its length, runs of data that no instruction could emit as several. The last of these has the run's bytes:
     how many the others have is not known here."""
-    if all(e[0] != "data" or e[3] <= LONGEST_RUN for e in entries):
-        return entries, lengths
-    out, sizes = [], []
     for entry, n in zip(entries, lengths, strict=True):
         while entry[0] == "data" and entry[3] > LONGEST_RUN:
             kind, slab, offset, count = entry
-            out.append((kind, slab, offset, LONGEST_RUN))
-            sizes.append(0)
+            yield (kind, slab, offset, LONGEST_RUN), 0
             entry = (kind, slab, offset + LONGEST_RUN, count - LONGEST_RUN)
-        out.append(entry)
-        sizes.append(n)
-    return out, sizes
+        yield entry, n
 
 
 def encoded(recipes: DataFrame) -> DataFrame:
-    """stream_id, raw: each stream's recipe as bytes. Runs of any length are encoded, very long ones as several."""
+    """stream_id, raw: each stream's recipe as bytes. Runs of any length are encoded, very long ones as several.
+
+    A stream's entries come to one task in order and are encoded one after another: only the bytes made are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = []
-            for entries in batch.column("entries").to_pylist():
-                rows = [_entry(*(e[c] for c in _ENTRY)) for e in entries]
-                raws.append(recipe_codec.encode(*short_runs(rows, [e["len"] for e in entries])))
-            yield pa.RecordBatch.from_arrays([batch.column("stream_id"), pa.array(raws, pa.binary())], ["stream_id", "raw"])
+        kind = None
 
-    return _by_stream(recipes).mapInArrow(run, f"stream_id {dict(recipes.dtypes)['stream_id']}, raw binary")
+        def rows() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("stream_id").type
+                yield from zip(batch.column("stream_id").to_pylist(), *(batch.column(c).to_pylist() for c in _ENTRY), strict=True)
+
+        for stream, group in groupby(rows(), key=lambda r: r[0]):
+            pairs = ((_entry(*r[1:]), r[1 + _ENTRY.index("len")]) for r in group)
+            sizes: deque[int] = deque()  # of entries that the encoder has taken
+
+            def entries(pairs: Iterable = pairs, sizes: deque = sizes) -> Iterator[tuple]:
+                for pair in pairs:
+                    for entry, n in short_runs(pair[:1], pair[1:]):
+                        sizes.append(n)
+                        yield entry
+
+            raw = recipe_codec.encode(entries(), iter(sizes.popleft, None))
+            yield pa.RecordBatch.from_arrays([pa.array([stream], kind), pa.array([raw], pa.binary())], ["stream_id", "raw"])
+
+    own = [F.col(c) if c in recipes.columns else F.lit(None).cast("long").alias(c) for c in _ENTRY]
+    ordered = recipes.select("stream_id", "seq", *own).repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInArrow(run, f"stream_id {dict(recipes.dtypes)['stream_id']}, raw binary")
 
 
 def decoded(recipes: DataFrame) -> DataFrame:

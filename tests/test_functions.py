@@ -9,8 +9,10 @@ from lamina import catalog
 from lamina.functions import recipe_codec as codec
 from lamina.functions import scalars as S
 from lamina.functions.splitter import READ, even, split, split_slowly
+from lamina.operators import chunks, runs
 from lamina.operators.recipes import short_runs
-from lamina.sources import slab_file
+from lamina.plans.archive import Archive
+from lamina.sources import payloads, slab_file
 
 
 def test_pow2():
@@ -139,7 +141,9 @@ def test_slab_file(spark, tmp_path, compressed):
 
 def test_runs_of_any_length_are_encoded():
     entries = [("data", 3, 0, (1 << 20) * 3 + 5), ("data", 3, 7, 2)]
-    back, _ = codec.decode(codec.encode(*short_runs(entries, [9, 2])))
+    pairs = list(short_runs(entries, [9, 2]))
+    assert sum(n for _, n in pairs) == 11
+    back, _ = codec.decode(codec.encode([e for e, _ in pairs], [n for _, n in pairs]))
     assert sum(e[3] for e in back[:-1]) == entries[0][3] and back[-1] == entries[1]
     at = 0
     for _, slab, offset, n in back[:-1]:
@@ -156,3 +160,41 @@ def test_option_numbers():
 
 def test_even_pieces():
     assert even(b"abcdefg", 3) == [3, 3, 1] and even(b"", 3) == []
+
+
+def test_derived_metrics(spark):
+    stats = spark.createDataFrame([(1000, 300)], "mapped_size long, data_written long")
+    row = chunks.derived(stats, F.lit(100), F.lit(4.0)).first()
+    assert (row.packed_size, row.ratio, row.bytes_per_second) == (400, 2.5, 250.0)
+
+
+def test_files_of_any_size_are_segments(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = {"a": bytes(range(256)) * 10, "b": b"", "c": b"xyz"}
+    for name, raw in data.items():
+        (tmp_path / "in" / name).write_bytes(raw)
+    rows = payloads.file_segments(spark, str(tmp_path / "in"), 1000).orderBy("stream_id", "segment").collect()
+    got = {name: [(r.segment // 1000, r.pos, r.len, bytes(r.data)) for r in rows if r.stream_id.endswith("/" + name)] for name in data}
+    assert got == {"a": [(k, 1000 * k, min(1000, 2560 - 1000 * k), data["a"][1000 * k : 1000 * k + 1000]) for k in range(3)], "b": [(0, 0, 0, b"")], "c": [(0, 0, 3, b"xyz")]}
+    own = Archive(spark, str(tmp_path / "archive")).create(block_size=256)
+    own.pack(payloads.file_segments(spark, str(tmp_path / "in"), 1000))
+    assert sorted(bytes(r.data) for r in own.unpack().collect()) == sorted(data.values())
+
+
+def test_devices_are_read_by_their_maps(spark, tmp_path):
+    """Only provisioned blocks are read, and of a changed device only what has changed."""
+    old = random.Random(1).randbytes(6400)
+    new = old[:640] + random.Random(2).randbytes(1280) + old[1920:]
+    (tmp_path / "old").write_bytes(old)
+    (tmp_path / "new").write_bytes(new)
+    maps = [spark.createDataFrame([(k, data, 0) for k, data in rows], "block long, data_block long, time long") for rows in ([(k, k) for k in range(100) if k not in (40, 41)], [(k, 1000 + k if 10 <= k < 30 else k) for k in range(100) if k not in (40, 41, 50)])]
+    length = F.lit(100).cast("long")
+    own = Archive(spark, str(tmp_path / "archive")).create(block_size=64)
+    own.pack(payloads.thin_segments(str(tmp_path / "old"), runs.run_iter(maps[0].select("block"), length), 64, 500).withColumn("stream_id", F.lit("old")))
+    changes = runs.delta_chunks(*maps, length, 64)
+    read = payloads.delta_segments(str(tmp_path / "new"), changes, 500)
+    assert read.agg(F.sum(F.octet_length("data"))).first()[0] == 1280
+    own.pack_delta("new", "old", read)
+    hole = lambda raw, *ks: bytearray(raw[: ks[0] * 64]) + bytes(64 * len(ks)) + raw[(ks[-1] + 1) * 64 :]
+    want = {"old": bytes(hole(old, 40, 41)), "new": bytes(hole(hole(new, 40, 41), 50))}
+    assert {r.stream_id: bytes(r.data) for r in own.unpack().collect()} == want
