@@ -138,7 +138,7 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     ip = ".".join(str(rng.randint(1, 254)) for _ in range(4))
     forms = {
         1: [f"{name}@{host}", f"{name}@{host}", f"{name}@{host.split('.')[0]}"], 2: [ip, ip, f"{ip}:{digits(4)}"],
-        3: [card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", card, f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}"], 4: [f"+1 ({line[0]}) {line[1]}-{line[2]}", f"({line[0]}) {line[1]}-{line[2]}", f"{line[0]}-{line[1]}-{line[2]}"],
+        3: [card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", card, f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}"], 4: [f"+1 ({line[0]}) {line[1]}-{line[2]}", f"({line[0]}) {line[1]}-{line[2]}", f"{line[0]}-{line[1]}-{line[2]}", ".".join(line)],
     }
     wrong = card[:15] + str((int(card[15]) + rng.randint(1, 9)) % 10)
     other = [lambda: wrong, lambda: str(rng.randint(1900, 2099)), lambda: digits(rng.randint(1, 6)), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: digits(rng.randint(7, 14)), lambda: f"{word()}{digits(2)}", lambda: f"{digits(3)}-{digits(4)}", lambda: f"{word()}@{digits(1)}", lambda: ".".join(str(rng.randint(200, 999)) for _ in range(4))]

@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import components, decontaminate, jaccard_join, pieces, pii, quality, secret_scan, suffix_dedup, token_counts, url_filter, warc
+from lamina.llm import components, decontaminate, jaccard_join, pieces, pii, quality, queries, secret_scan, suffix_dedup, token_counts, url_filter, warc
 
 rng = random.Random(21)
 WORDS = [f"w{k}" for k in range(300)]
@@ -301,3 +302,9 @@ def test_small_sides_are_counted_in_bytes(spark):
 
     wide = spark.range(100).select("id", F.array_repeat(F.lit(1), 50_000).alias("xs"))
     assert not common.is_small(wide) and common.is_small(wide.select("id")) and common.is_small(wide.limit(0))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables aren't here")
+def test_pieces_come_with_their_ids(spark):
+    rows = queries.QUERIES["op4_pieces"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(len(r.ids) == r.n_pieces for r in rows)

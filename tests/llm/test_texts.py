@@ -262,9 +262,9 @@ def test_personal_data_mentioned_again_in_other_forms():
         fill = lambda: " ".join(gen.choice(prose) for _ in range(40))
         text = f"{fill()} {first} {fill()} {again} {fill()}"
         at = text.rindex(again)
-        spans = pii.find(text, model)[1]
+        base, spans = pii.find(text, model)
         found += any(k == kind and s < at + len(again) and e > at for k, s, e in spans)
-        wrong += sum(not (s < at + len(again) and e > at) and text[s:e] not in first for _, s, e in spans)
+        wrong += sum(not (s < at + len(again) and e > at) and text[s:e] not in first for _, s, e in set(spans) - set(base))
     assert found >= 70 and wrong <= 5  # the patterns alone find none
 
 
