@@ -272,6 +272,21 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(n.alias("n"), S.pow2(n).alias("pow2"), S.fingerprint(n).alias("fingerprint"), S.bucket(n, 1024).alias("bucket"), S.basename(F.concat(F.lit("/a/b/"), F.lower("o_orderpriority"))).alias("base"))
 
 
+_HUMAN = "CASE " + " ".join(f"WHEN n >= {1 << k} THEN printf('%.2f{u}', floor(n / {float(1 << k)} * 100 + 0.5) / 100)" for k, u in ((40, "T"), (30, "G"), (20, "M"), (10, "K"))) + " ELSE printf('%d', n) END"
+
+
+@query(f"SELECT o_orderkey, {_HUMAN} AS size, strftime(o_orderdate, '%b %d %y %H:%M') AS time FROM (SELECT *, o_orderkey * o_orderkey * 100 AS n FROM orders)")
+def scalar_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey") * F.col("o_orderkey") * 100
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.human_size(n).alias("size"), S.list_time(F.col("o_orderdate")).alias("time"))
+
+
+@query("SELECT doc_id, sha256(encode(coalesce(text, ''))) AS digest FROM documents")
+def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document compressed and decompressed."""
+    return _streams(spark, sf_dir).select(F.col("stream_id").alias("doc_id"), S.sha256_hex(S.decompress(S.compress(F.col("data")))).alias("digest"))
+
+
 @query("SELECT props, min(event_id) AS event_id FROM events WHERE props IS NOT NULL GROUP BY props")
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' payloads as a stream, the first event of each kept over all batches."""

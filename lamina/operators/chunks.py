@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from ..functions.splitter import Splitter, split
 
 #: Bytes of pieces that the splitter hands on at once, besides those of one stream.
 OUT_BYTES = 16 << 20
+#: Bytes for each core, as estimated, up to which streams are dealt to all cores before they are split: they may lie in a file or two.
+SPREAD_BYTES = 32 << 20
 
 
 def fixed(streams: DataFrame, size: int) -> DataFrame:
@@ -23,44 +26,49 @@ def fixed(streams: DataFrame, size: int) -> DataFrame:
     return rows.select("stream_id", "seq", "pos", F.octet_length("data").cast("long").alias("len"), "data")
 
 
-def content_defined(streams: DataFrame, block: int, splitter: Splitter = split) -> DataFrame:
+def content_defined(streams: DataFrame, block: int, splitter: Splitter = split, named: bool = False) -> DataFrame:
     """As fixed(), cut by content. Streams are split apart from each other, so the work spreads by stream; a stream with
-    holes comes as a row for each segment between them."""
+    holes, or a long one, comes as a row for each segment. named: with fill and the 32-byte digest hash, as classified() has them, made
+    in the same pass over the bytes."""
+    names = ["stream_id", "seq", "pos", "len", "data", *(["fill", "hash"] if named else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()][: len(names) - 1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, seqs, places, sizes, parts, held = [], [], [], [], [], 0
+            owner, rows, held = [], [], 0
 
             def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                columns = [pa.array(x, pa.int64()) for x in (seqs, places, sizes)] + [pa.array(parts, pa.binary())]
-                made = pa.RecordBatch.from_arrays([batch.column("stream_id").take(pa.array(owner, pa.int64())), *columns], ["stream_id", "seq", "pos", "len", "data"])
-                for x in (owner, seqs, places, sizes, parts):
-                    x.clear()
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                made = pa.RecordBatch.from_arrays([batch.column("stream_id").take(pa.array(owner, pa.int64())), *columns], names)
+                owner.clear(), rows.clear()
                 return made
 
             for k, data in enumerate(batch.column("data")):
                 raw = data.as_buffer().to_pybytes()
                 at = 0
                 for seq, size in enumerate(splitter(raw, block)):
-                    owner.append(k)
-                    seqs.append(seq)
-                    places.append(at)
-                    sizes.append(size)
-                    parts.append(raw[at : at + size])
+                    part = raw[at : at + size]
+                    if not named:
+                        rows.append((seq, at, size, part))
+                    elif part[0] == part[-1] and part == part[:1] * size:
+                        rows.append((seq, at, size, part, part[0], None))
+                    else:
+                        rows.append((seq, at, size, part, None, hashlib.blake2b(part, digest_size=32).digest()))
                     at += size
+                owner += [k] * (len(rows) - len(owner))
                 held += len(raw)
-                if held > OUT_BYTES:
+                if held > OUT_BYTES and rows:
                     yield out()
                     held = 0
-            if owner:
+            if rows:
                 yield out()
 
     kind = dict(streams.dtypes)["stream_id"]
     rows = streams.select("stream_id", "data")
     tasks = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < tasks:  # a few files: the bytes are dealt to all cores first
+    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < tasks * SPREAD_BYTES:  # as estimated, without running anything
         rows = rows.repartition(tasks)
-    return rows.mapInArrow(cut, f"stream_id {kind}, seq long, pos long, len long, data binary")
+    return rows.mapInArrow(cut, f"stream_id {kind}, seq long, pos long, len long, data binary" + (", fill int, hash binary" if named else ""))
 
 
 def classified(chunks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import adjust_block_size, blake2b_256, fill_byte, human_size, list_time
+from ..functions.scalars import adjust_block_size, human_size, list_time
 from ..functions.splitter import SPLITTERS
 from ..operators import chunks as C
 from ..operators import recipes as R
@@ -49,10 +49,10 @@ def _placed_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("pos", F.coalesce(F.sum("len").over(w), F.lit(0)))
 
 
-def _together(*jobs: Callable) -> list:
+def _together(spark: SparkSession, *jobs: Callable) -> list:
     """The jobs' results. They run side by side, as none needs another's."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [x.result() for x in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def _filled(byte: Column, n: Column) -> Column:
@@ -156,11 +156,9 @@ class Archive:
             segments = _placed_segments(segments)
         twice = segments.groupBy("stream_id", "segment").count().where("count > 1")
         whole = segments.where("data is not null").select(F.struct("stream_id", "segment", "pos").alias("stream_id"), "data")
-        cut = C.content_defined(whole, config["block_size"], SPLITTERS[config["splitter_alg"]])
-        cut = cut.select("stream_id.stream_id", "stream_id.segment", F.col("stream_id.pos").alias("at"), "seq", "pos", "len", "data")
-        cut = cut.select("stream_id", (F.col("at") + F.col("pos")).alias("pos"), "len", "data").withColumn("fill", fill_byte(F.col("data")))
-        hashed = cut.withColumn("hash", F.when(F.col("fill").isNull(), blake2b_256(F.col("data"))))
-        chunks, once, base = _together(lambda: staged(hashed, "chunks"), twice.isEmpty, self._next_slab)
+        cut = C.content_defined(whole, config["block_size"], SPLITTERS[config["splitter_alg"]], named=True)
+        hashed = cut.select("stream_id.stream_id", (F.col("stream_id.pos") + F.col("pos")).alias("pos"), "len", "data", "fill", "hash")
+        chunks, once, base = _together(self.spark, lambda: staged(hashed, "chunks"), twice.isEmpty, self._next_slab)
         if not once:
             self._drop(f"staging-{pack}")
             raise ArchiveError("a stream is given twice")
@@ -182,7 +180,7 @@ class Archive:
         runs = runs.select("stream_id", F.col("_seq").alias("seq"), F.col("_seq").alias("pos"), *(c for c in entries.columns if c not in ("stream_id", "pos")), F.lit(pack).alias("pack"))
         mappings = runs.write.mode("append").partitionBy("pack")
         stats = chunks.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total_read"), F.coalesce(F.sum(F.when(F.col("fill").isNotNull(), F.col("len"))), F.lit(0)).alias("fill_size"), F.count(F.lit(1)).alias("n_chunks")).crossJoin(F.broadcast(placed.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("data_written"))))  # one row each
-        _, _, out = _together(lambda: blocks.parquet(self.path("blocks")), lambda: mappings.parquet(self.path("mappings")), stats.withColumn("duplicate", F.col("total_read") - F.col("fill_size") - F.col("data_written")).first)
+        _, _, out = _together(self.spark, lambda: blocks.parquet(self.path("blocks")), lambda: mappings.parquet(self.path("mappings")), stats.withColumn("duplicate", F.col("total_read") - F.col("fill_size") - F.col("data_written")).first)
         mapped = self._read("mappings", _MAPPINGS).where(F.col("pack") == pack)
         size = mapped.groupBy("stream_id").agg(F.sum("len").alias("size"), F.coalesce(F.sum(F.when(F.col("kind") != "unmapped", F.col("len"))), F.lit(0)).alias("mapped_size"))
         owned = placed.groupBy("stream_id").agg(F.sum("len").alias("packed_size"))

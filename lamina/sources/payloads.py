@@ -23,8 +23,8 @@ SEGMENT = 64 << 20
 
 
 def file_segments(spark: SparkSession, path: str, size: int = SEGMENT) -> DataFrame:
-    """Files of any size below a path as segments (stream_id, segment, pos, len, data) of `size` bytes, the last one shorter; an empty
-    file has one. Only places and lengths are listed; each task reads its segments by ranges."""
+    """Files of any size below a path as segments (stream_id, segment, pos, len, data) of `size` bytes, the last one shorter. Only
+    places and lengths are listed, by Spark, which passes over empty files; each task reads its segments by ranges."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return read_places(listed.select(F.col("path").alias("stream_id"), "path", F.lit(0).cast("long").alias("pos"), F.col("length").alias("len"), F.lit("mapped").alias("kind")), size).drop("kind")
 

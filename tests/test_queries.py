@@ -36,8 +36,3 @@ def test_query(spark, tables, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
-
-
-def test_pieces_come_with_their_ids(spark):
-    rows = entry.queries()["op4_pieces"](spark, SF).collect()
-    assert rows and all(len(r.ids) == r.n_pieces for r in rows)
