@@ -18,17 +18,17 @@ VERSION = "0.1"
 @arrow_udf(BinaryType())
 def blake2b_256(values: pa.Array) -> pa.Array:
     """The 32-byte digest that names a block; null stays null."""
-    return pa.array([None if x is None else hashlib.blake2b(x.as_buffer(), digest_size=32).digest() for x in values], pa.binary())
+    return pa.array([None if not x.is_valid else hashlib.blake2b(x.as_buffer(), digest_size=32).digest() for x in values], pa.binary())
 
 
 @arrow_udf(BinaryType())
 def blake2b_64(values: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else hashlib.blake2b(x.as_buffer(), digest_size=8).digest() for x in values], pa.binary())
+    return pa.array([None if not x.is_valid else hashlib.blake2b(x.as_buffer(), digest_size=8).digest() for x in values], pa.binary())
 
 
 @arrow_udf(BinaryType())
 def blake2b_32(values: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else hashlib.blake2b(x.as_buffer(), digest_size=4).digest() for x in values], pa.binary())
+    return pa.array([None if not x.is_valid else hashlib.blake2b(x.as_buffer(), digest_size=4).digest() for x in values], pa.binary())
 
 
 def hash_le_u64(value: bytes) -> int:
@@ -41,7 +41,7 @@ def compress(values: pa.Array) -> pa.Array:
     import zstandard
 
     c = zstandard.ZstdCompressor()
-    return pa.array([None if x is None else c.compress(x.as_buffer()) for x in values], pa.binary())
+    return pa.array([None if not x.is_valid else c.compress(x.as_buffer()) for x in values], pa.binary())
 
 
 @arrow_udf(BinaryType())
@@ -49,7 +49,7 @@ def decompress(values: pa.Array) -> pa.Array:
     import zstandard
 
     d = zstandard.ZstdDecompressor()
-    return pa.array([None if x is None else d.decompress(x.as_buffer()) for x in values], pa.binary())
+    return pa.array([None if not x.is_valid else d.decompress(x.as_buffer()) for x in values], pa.binary())
 
 
 def sha256_hex(data: Column) -> Column:
