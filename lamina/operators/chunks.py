@@ -44,7 +44,7 @@ def content_defined(streams: DataFrame, block: int, splitter: Splitter = split,
                 return made
 
             for k, data in enumerate(batch.column("data")):
-                raw = data.as_buffer().to_pybytes()
+                raw = data.as_buffer().to_pybytes() if data.is_valid else b""
                 at = 0
                 for seq, size in enumerate(splitter(raw, block)):
                     part = raw[at : at + size]
