@@ -93,10 +93,14 @@ def proximity_matches(index: Index, slop: int, rarest: int = 3, width: int = WIN
     each = Window.partitionBy("wid")
     places = index.windows.select("wid", F.explode("words").alias("w")).select("wid", term(F.col("w")).alias("tid")).distinct().withColumn("need", F.least(F.count(F.lit(1)).over(each), F.lit(rarest)))
     known = places.join(frequencies(index), "tid").withColumn("rank", F.row_number().over(each.orderBy("df", "tid"))).withColumn("some", F.count(F.lit(1)).over(each))
-    chosen = known.where((F.col("rank") <= rarest) & (F.col("some") >= F.col("need"))).select("wid", "tid", "need")
-    near = Window.partitionBy(*KEY, "wid").orderBy("pos").rangeBetween(0, width + slop - 1)
-    rows = sized_join(index.postings, stored(chosen, "near-anchors"), ["tid"]).select(*KEY, "wid", "tid", "pos", "need").distinct()
-    return rows.withColumn("n", F.size(F.collect_set("tid").over(near))).where("n = need").select(*KEY, "wid", "pos").distinct()
+    chosen = known.where((F.col("rank") <= rarest) & (F.col("some") >= F.col("need")))
+    # windows of one passage have the same rarest terms mostly: each set of terms is looked for once
+    sets = chosen.groupBy("wid").agg(F.array_sort(F.collect_set("tid")).alias("tids")).groupBy("tids").agg(F.collect_list("wid").alias("wids"))
+    sets = stored(sets.select(F.monotonically_increasing_id().alias("set"), "tids", "wids", F.size("tids").alias("need")), "near-anchors")
+    near = Window.partitionBy(*KEY, "set").orderBy("pos").rangeBetween(0, width + slop - 1)
+    rows = sized_join(index.postings, sets.select("set", F.explode("tids").alias("tid"), "need"), ["tid"]).select(*KEY, "set", "tid", "pos", "need")
+    found = rows.withColumn("n", F.size(F.collect_set("tid").over(near))).where("n = need").select(*KEY, "set", "pos").distinct()
+    return sized_join(found, sets.select("set", "wids"), ["set"]).select(*KEY, F.explode("wids").alias("wid"), "pos")
 
 
 def near_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = SLOP) -> DataFrame:
