@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ from ..session import ready
 
 #: Rows and bytes that one side of a join may have, as counted, to be sent to every executor.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bytes of a row group of a stored table: a writer holds one in memory, and a reader skips them by their statistics.
+ROW_GROUP = 16 << 20
 #: Rows and bytes handed to a Python worker at once.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
@@ -71,7 +74,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The table stays until the scratch() about it ends, or the driver does."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     if _tables:
         _tables[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -138,6 +141,15 @@ def parted_join(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame, how
     return there.unionByName(flagged.where("_hot is null").drop("_hot").join(other.hint("merge"), [key], how))
 
 
+def give_back() -> None:
+    """At the end of a pass: memory that a worker has no more use for, as it lives on beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_pass(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """per_batch over df's Arrow batches; schema: of what it returns."""
     small_batches(df.sparkSession)
@@ -146,7 +158,7 @@ def arrow_pass(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBat
         for batch in batches:
             if (out := per_batch(batch)) is not None:
                 yield out
-        pa.default_memory_pool().release_unused()  # a worker lives on, beside those of the next stage
+        give_back()
 
     return df.mapInArrow(over, schema)
 

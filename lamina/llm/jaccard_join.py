@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Kept, arrow_pass, packed, row_key, scratch, sized_join, small_batches, stored, unpacked
+from .common import KEY, Kept, arrow_pass, give_back, packed, row_key, scratch, sized_join, small_batches, stored, unpacked
 from .components import components
 
 WORDS = 5
@@ -153,6 +153,7 @@ def _flushed(rows: Iterator[tuple], schema: pa.Schema, most: int = 4_000) -> Ite
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    give_back()
 
 
 _CELL = [("band", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]

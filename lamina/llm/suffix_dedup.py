@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, arrow_pass, parted_join, row_key, scratch, sized_join, small_batches, stored
+from .common import KEY, arrow_pass, give_back, parted_join, row_key, scratch, sized_join, small_batches, stored
 
 LENGTH, GRAM, STEP = 400, 40, 20
 #: Blocks sorted at once, and different surroundings of one anchor beyond which they are parted.
@@ -322,7 +322,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, blocks = [], 0
     if held:
         yield results(held)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _dealt(parts: DataFrame) -> DataFrame:
