@@ -22,7 +22,7 @@ UNKNOWN_COST = 10.0
 #: Units in one vectorised search, and the longest unit that goes there; bytes of results kept by unit, the longest unit kept, and
 #: characters encoded in one call.
 TOGETHER, LONG = 4_096, 64
-KEPT_BYTES, KEPT_CHARS, CALL_CHARS = 12 << 20, 32, 1 << 19
+KEPT_BYTES, KEPT_CHARS, CALL_CHARS = 48 << 20, 32, 1 << 20
 #: Texts that a normaliser, or one that tidies white space, would change.
 _AS_THEY_ARE = ("a  b", " a ", "\ufb01 \uff21 e\u0301 \u00bd", "A\tb\nc", "\u3000x")
 _UNITS = re.compile(r" +[^ ]+| +$")
